@@ -11,12 +11,17 @@ from .chat_format import format_conversations, masked, parse
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
+from .jaccard_join import near_duplicates
 from .secret_scan import scan_secrets
 from .token_counts import document_token_counts
 
 CHAT_TRICK = r"\### Assistant: </turn> ok"
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
@@ -64,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_secret_scan, op7_decontaminate, op8_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_token_counts, op4_secret_scan, op7_decontaminate, op8_exact_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
