@@ -12,12 +12,25 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
+from .line_dedup import deduplicate_lines
+from .mixing import label_domains, mix
+from .quality import classify
 from .secret_scan import scan_secrets
 from .token_counts import document_token_counts
 
 CHAT_TRICK = r"\### Assistant: </turn> ok"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mix(docs, label_domains(table(spark, sf_dir, "labels")))
+    p = F.col("mix.posterior")
+    return out.select(
+        "doc_id", F.col("mix.n_tokens").alias("n_tokens"), p[0].alias("p_clean"), p[1].alias("p_toxic"), p[2].alias("p_low"),
+        F.col("mix.rate").alias("rate"), F.col("mix.copies").alias("copies"),
+    )
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +51,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "quality.content", "quality.metadata", "quality.score", "quality.rejected")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -53,6 +71,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = deduplicate_lines(docs)
+    n_dropped = F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id", n_dropped.alias("n_dropped"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trick = spark.range(1).select(
@@ -69,7 +97,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_token_counts, op4_secret_scan, op7_decontaminate, op8_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_token_counts, op4_secret_scan, op5_quality, op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
