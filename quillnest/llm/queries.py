@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
 from .line_dedup import deduplicate_lines
+from .lm_score import score_texts
 from .mixing import label_domains, mix
 from .quality import classify
 from .secret_scan import scan_secrets
@@ -56,6 +57,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality.content", "quality.metadata", "quality.score", "quality.rejected")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -97,7 +102,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_token_counts, op4_secret_scan, op5_quality, op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_token_counts, op4_secret_scan, op5_quality, op6_lm_score, op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
