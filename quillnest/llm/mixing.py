@@ -108,10 +108,10 @@ def domains(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id
     return out.select("doc_id", F.col("m.n").alias("n_tokens"), F.col("m.p").alias("posterior"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS) -> dict:
-    """Start rate and gradient path that bring the expected totals to the targets (shares of the budget in tokens).
+def fit_rates(table: DataFrame, targets: list[float], epochs: float = 1.0, steps: int = STEPS) -> dict:
+    """Start rate and gradient path that bring the expected totals to the targets (shares of the tokens to read).
 
-    table: n_tokens and posterior. The budget is the corpus's own tokens where none is given. Targets that no
+    table: n_tokens and posterior. Targets that no
     nonnegative rates reach are approached as closely as they can be.
     """
     k = len(targets)
@@ -131,7 +131,7 @@ def fit_rates(table: DataFrame, targets: list[float], budget: float | None = Non
     first = sums(lambda n, p: np.concatenate([[n.sum()], n @ p, ((p * n[:, None]).T @ p).ravel()]))
     if not first.size or first[0] <= 0:
         return {"start": 1.0, "path": [], "totals": [0.0] * k, "wanted": [0.0] * k}
-    budget = budget or first[0]
+    budget = epochs * first[0]
     want = np.array(targets, np.float64) / sum(targets) * budget
     step = 1.0 / np.linalg.eigvalsh(first[1 + k :].reshape(k, k)).max()
     start = budget / first[0]
@@ -158,9 +158,11 @@ def copies(rate, key: str):
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id",
-        budget: float | None = None) -> DataFrame:
+        epochs: float = 1.0) -> DataFrame:
     """docs with a struct column ``mix`` (``_mix`` where that name is taken): n_tokens, posterior, rate and copies.
 
+    epochs: tokens to read, as a multiple of the corpus's own.
+
     labelled: key and domain. A null or empty text has no tokens and the posterior of no words; a null id rounds
     like any other; repeated rows get the same rate; without labels all posteriors are equal; an empty table stays empty.
     """
@@ -168,7 +170,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     model = fit_domains(docs, labelled, names, text, key)
     scratch = Scratch(docs.sparkSession)
     table = scratch.keep(domains(docs, model, text, key))
-    fitted = fit_rates(table, [targets[n] for n in names], budget)
+    fitted = fit_rates(table, [targets[n] for n in names], epochs)
     scratch.drop(table)
     (name,) = fresh(docs, "mix")
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])

@@ -27,7 +27,7 @@ EXCHANGED = 1_000
 ROUNDS = 3
 CONFIDENT = 0.98
 #: A document with a lower combined probability of being good is rejected.
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 META = ("lang", "source", "n_chars")
 HASHED = 32
 SYMBOLS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
