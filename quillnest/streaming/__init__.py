@@ -1,0 +1,4 @@
+"""Streams: the reads and projections of this library are DataFrames, so they apply to streaming inputs unchanged.
+
+No streaming operator belongs to the scope.
+"""
