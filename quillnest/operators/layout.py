@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,41 +80,21 @@ def dictionary_fits(df: DataFrame, columns: list[str], by: list[str], limit: int
 
 
 def byte_streams(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Byte stream split: keys, stream (from 0, least significant byte first) and byte of each double or float."""
-    t = df.schema[value].dataType
-    width = 4 if isinstance(t, T.FloatType) else 8
-    bits = F.hex(F.reverse(_ieee(F.col(value), width)))
-    byte = lambda k: F.conv(F.substring(bits, F.lit(1 + 2 * k), F.lit(2)), 16, 10).cast("int")
+    """Byte stream split: keys, stream (from 0, least significant byte first) and byte of each double or float.
+
+    Spark has no expression for a number's bits; they come from Arrow batches as they are.
+    """
+    kind = "<f4" if isinstance(df.schema[value].dataType, T.FloatType) else "<f8"
+
+    def stored(v: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in v.to_numpy().astype(kind)])
+
+    stored.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    bits = df.where(F.col(value).isNotNull()).select(*keys, F.pandas_udf(stored, T.BinaryType())(value).alias("b"))
+    width = int(kind[2:])
+    byte = lambda k: F.conv(F.hex(F.substring("b", F.lit(k + 1), F.lit(1))), 16, 10).cast("int")
     streams = F.array(*(F.struct(F.lit(k).alias("stream"), byte(k).alias("byte")) for k in range(width)))
-    return df.where(F.col(value).isNotNull()).select(*keys, F.explode(streams).alias("s")).select(*keys, "s.stream", "s.byte")
-
-
-def _ieee(c: Column, width: int) -> Column:
-    """Big-endian IEEE bytes of a float or double, by arithmetic: sign, exponent and mantissa."""
-    mant, bias = (23, 127) if width == 4 else (52, 1023)
-    d = c.cast("double")
-    a = F.abs(d)
-    negative = c.cast("string").startswith("-")  # also of negative zero
-    # The exponent from log2 may be one off next to a power of two; it is set right by comparison.
-    guess = F.floor(F.log2(a)).cast("int")
-    e = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
-    e = F.greatest(e, F.lit(1 - bias))
-    half = F.floor(e / 2)
-    scaled = a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e)  # in two steps: no overflow of the power
-    normal = scaled >= 1
-    fraction = ((scaled - F.when(normal, 1.0).otherwise(0.0)) * F.lit(float(1 << mant))).cast("long")
-    biased = F.when(normal, e + bias).otherwise(0).cast("long")
-    top = F.lit((1 << (mant + (8 if width == 4 else 11))) - (1 << mant))
-    body = (
-        F.when(F.isnan(d), top + F.lit(1 << (mant - 1)))
-        .when(a == float("inf"), top)
-        .when(a == 0, F.lit(0))
-        .otherwise(biased * F.lit(1 << mant) + fraction)
-        .cast("long")
-    )
-    sign = F.when(negative & ~F.isnan(d), F.lit(-(1 << 63) if width == 8 else 1 << 31)).otherwise(F.lit(0)).cast("long")
-    full = body.bitwiseOR(sign)
-    return F.unhex(F.lpad(F.hex(full), 2 * width, "0"))
+    return bits.select(*keys, F.explode(streams).alias("s")).select(*keys, "s.stream", "s.byte")
 
 
 def epoch_units(c: Column, t: T.DataType) -> dict[str, Column]:
