@@ -105,5 +105,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_token_counts, op4_secret_scan, op5_quality, op6_lm_score, op7_decontaminate, op8_exact_dedup, op9_line_dedup, op10_chat_format)}
 
 
+SQL = {
+    "op8_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id) AS kept, text_sha256 FROM d""",
+    "op10_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(i)),
+e AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, true) AS new,
+length(replace(replace(text, chr(92), '\b'), '<', '\l')) AS n, length(replace(replace(replace(role, chr(92), '\b'), '<', '\l'), chr(10), '\n')) AS m FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(n + CASE WHEN new THEN length('<turn>') + m + 1 + length('</turn>') + 1 ELSE length('<next>') END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
