@@ -8,12 +8,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillnest.session import confs
+
 #: Byte tables: A-Z to lower case; the same and all ASCII but letters and digits to a space.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 #: Rows up to which a set of ids may be broadcast (16 bytes each, so at most 8 MB); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 class Scratch:
@@ -32,7 +36,9 @@ class Scratch:
         return f"{self.base}/{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
-        df.write.parquet(path := self.path())
+        # Python workers get small batches: long texts are then a few MB at a time on either side.
+        with confs(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+            df.write.parquet(path := self.path())
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -76,6 +82,13 @@ def select_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return df.join(ids, quoted(key).eqNullSafe(F.col("_id")), how)
 
 
+def hash_share(df: DataFrame, most: int, key: str = "id") -> DataFrame:
+    """All rows, or where there are more than ``most`` about so many, chosen by a hash of the key: no sort, and no task
+    sends more than its share."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(quoted(key)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
@@ -91,7 +104,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash, filled as words come; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

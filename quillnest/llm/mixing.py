@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, quoted, words
+from .common import Scratch, fresh, hash_share, quoted, words
 
-#: Labelled documents that the classifier is fitted on, at most (those of smallest id hash).
+#: Labelled documents that the classifier is fitted on, about (chosen by a hash of the id).
 LABELLED = 20_000
 BITS = 18
 LEAST_DOCS = 20
@@ -48,9 +48,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], text: st
 
     hashed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     want = labelled.where(F.col("domain").isin(names)).groupBy(quoted(key).alias("_id")).agg(F.min("domain").alias("domain"))
-    want = want.orderBy(F.xxhash64("_id"), "_id").limit(most)  # so at most this many rows are broadcast and gathered
+    want = hash_share(want, most, "_id")  # so about this many rows are broadcast and gathered
     rows = docs.select(quoted(key).alias("_id"), quoted(text).alias("_text")).join(F.broadcast(want), "_id")
-    rows = rows.select("_id", "domain", F.pandas_udf(hashed, T.BinaryType())("_text").alias("x")).orderBy("_id").limit(most).collect()
+    rows = rows.select("_id", "domain", F.pandas_udf(hashed, T.BinaryType())("_text").alias("x"))
+    rows = sorted(rows.collect(), key=lambda r: (r._id, r.x))
     k = len(names)
     w, bias = np.zeros((1 << BITS, k), np.float32), np.zeros(k)
     if rows:
