@@ -73,7 +73,7 @@ def signatures(h: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent:
     """Signatures of one set: h its hashes, df how many sets have each."""
     n = len(h)
     miss = n - need(n, percent)
-    if 100 * (n - 1) < percent * n or (df == 1).sum() > miss:
+    if 100 * n < percent * (n + 1) or (df == 1).sum() > miss:
         return np.zeros(0, np.uint64)  # only an equal set can link, or too many hashes are its own
     order = np.lexsort((h, df))
     h, df = h[order], df[order]
