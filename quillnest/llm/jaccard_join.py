@@ -109,30 +109,40 @@ def _facts(docs: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
     """Rows (doc_id, n, digest, common): one of each document, and further ones with null digest that add to common,
     the number of hashes in its hash-order prefix that another document has too."""
 
+    def send(own: list, ids: list, n: list, digest: list) -> pd.DataFrame:
+        every = np.concatenate(own)
+        doc = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        order = np.argsort(every)
+        every, doc = every[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(every)))
+        common = np.bincount(doc[np.repeat(count > 1, count)], minlength=len(own))
+        docs = np.array(ids, np.int64)
+        once, who = every[first], np.where(count > 1, -1, docs[doc[first]])
+        known = (count > 1).astype(np.uint8)
+        cut = _deal(once, buckets)
+        rows = [(k, once[a:b].tobytes(), who[a:b].tobytes(), known[a:b].tobytes(), None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        rows.append((int(docs[0] % buckets), docs.tobytes(), np.array(n, np.int64).tobytes(), common.astype(np.int64).tobytes(), b"".join(digest)))
+        return pd.DataFrame(rows, columns=["bucket", "x", "y", "z", "digest"])
+
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         hashes = WordHashes()
+        own, ids, n, digest, load = [], [], [], [], 0
         for pdf in batches:
-            sets = [shingle_set(words(t), hashes, size) for t in pdf["text"]]
-            n = np.array([len(s) for s in sets], np.int64)
-            own = [s[: len(s) - need(len(s), percent) + max(1, len(s) // 10)] for s in sets]
-            every = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            doc = np.repeat(np.arange(len(own)), [len(s) for s in own])
-            order = np.argsort(every)
-            every, doc = every[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(every)))
-            twice = np.repeat(count > 1, count)
-            common = np.bincount(doc[twice], minlength=len(own))
-            ids = pdf["doc_id"].to_numpy(np.int64)
-            once, who = every[first], np.where(count > 1, -1, ids[doc[first]] if len(first) else 0)
-            known = (count > 1).astype(np.uint8)
-            cut = _deal(once, buckets)
-            rows = [(k, once[a:b].tobytes(), who[a:b].tobytes(), known[a:b].tobytes(), None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-            digest = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-            rows.append((int(ids[0] % buckets) if len(ids) else 0, ids.tobytes(), n.tobytes(), common.astype(np.int64).tobytes(), digest))
-            yield pd.DataFrame(rows, columns=["bucket", "x", "y", "z", "digest"])
+            for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                s = shingle_set(words(t), hashes, size)
+                own.append(s[: len(s) - need(len(s), percent) + max(1, len(s) // 10)].copy())
+                ids.append(doc_id)
+                n.append(len(s))
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                load += len(own[-1])
+                if load > BATCH_HASHES:
+                    yield send(own, ids, n, digest)
+                    own, ids, n, digest, load = [], [], [], [], 0
+        if own:
+            yield send(own, ids, n, digest)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
