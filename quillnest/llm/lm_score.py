@@ -34,6 +34,8 @@ ROUNDS = 2
 STEPS, WINDOW = 16, 48
 TRAIN_LANES, LANES = 32, 320
 RATE = 0.08
+#: Tokens that are scored together.
+LOAD = 3_000_000
 SHARD_TOKENS = 500_000
 SMOOTH = 0.1
 END = b""  # no word is empty
@@ -63,6 +65,24 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, in order: at most ``most``, and all of a level of frequency or none.
+
+    Levels are sixteenths of a power of two, so the histogram has a few hundred rows; no sort of the vocabulary.
+    """
+    level = F.floor(F.log2("c") * 16).cast("int").alias("level")
+    n, least = 0, None
+    for r in sorted(counts.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
+        n += r.n
+        if n > most:
+            break
+        least = r.level
+    if least is None:
+        return []
+    rows = counts.where(F.floor(F.log2("c") * 16) >= least).collect()
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def layout(counts: list[int]) -> dict:
     """Sizes of a model for words with these counts, most frequent first; rest and start follow the words."""
     m = len(counts)
@@ -197,11 +217,11 @@ def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
         keep: list = []
         h = run_window(w, lanes, t, active, state, keep)
         target = np.concatenate([lanes.target[t + s, :n] for s, n in enumerate(active)])
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
         logp, dh = softmax(w, h, target, size, grads)
         total += float(logp.sum())
         cut = np.cumsum([0, *active])
-        back = np.zeros((0, HIDDEN), np.float32)
+        back, inputs = np.zeros((0, HIDDEN), np.float32), []
         for s in reversed(range(len(active))):
             n = active[s]
             prev, z, r, c, an = keep[s]
@@ -211,9 +231,16 @@ def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
             dr, da = dc * an * r * (1 - r), dc * r
             up = np.concatenate([dz, dr, da], axis=1)
             grads["h"] += prev.T @ up
-            np.add.at(grads["x"], lanes.given[t + s, :n], np.concatenate([dz, dr, dc], axis=1))
+            inputs.append(np.concatenate([dz, dr, dc], axis=1))
             back = d * z + up @ w["h"].T
             back[lanes.first[t + s, :n]] = 0
+        # Input rows: only those of the window's words are touched.
+        given = np.concatenate([lanes.given[t + s, :n] for s, n in reversed(list(enumerate(active)))])
+        order = np.argsort(given, kind="stable")
+        rows, starts = np.unique(given[order], return_index=True)
+        g = np.clip(np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0), -5, 5)
+        squares["x"][rows] += g * g
+        w["x"][rows] -= RATE * g / np.sqrt(squares["x"][rows])
         for k, g in grads.items():
             np.clip(g, -5, 5, out=g)
             squares[k] += g * g
@@ -292,7 +319,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in
     learn = own.where("NOT held_out")
     counts = scratch.keep(count_words(learn.select("text")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).toLocalIterator()]
+    known = most_frequent(counts, KNOWN)
     top = known[:PREDICTED]
     z = n + SMOOTH * (v + 1)
     rest = z - sum(c + SMOOTH for _, c in top)
@@ -304,38 +331,49 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {x: i for x, (i, _) in table.items() if i < m}
         worth = {x: (np.log10((c + SMOOTH) / z), i < m, np.log10(c + SMOOTH) - np.log10(rest)) for x, (i, c) in table.items()}
+        columns = ["doc_id", "held_out", "n_tokens", "found", "base", "model", "rare", "times"]
+
+        def scored(rows: list, seqs: list) -> Iterator[pd.DataFrame]:
+            model = log_likelihoods(w, seqs, size) / np.log(10) if w else np.zeros(len(seqs))
+            for at in range(0, len(rows), 500):
+                out = pd.DataFrame(rows[at : at + 500], columns=columns)
+                yield out.assign(model=out["model"] + model[at : at + 500])
+
+        rows, seqs, load = [], [], 0
         for pdf in batches:
-            seqs, rows = [], []
-            for t in pdf["text"]:
+            for doc_id, held, t in zip(pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
                 ws = words(t)
                 seqs.append(_sequence(ws, number, m))
+                load += len(seqs[-1])
                 base = inner = 0.0
-                found, rare = 0, []
+                found, rare, times = 0, [], []
                 for x, k in Counter([*ws, END]).items():
                     got = worth.get(x)
                     if got is None:
-                        rare.append({"word": x, "k": k})
+                        rare.append(x)
+                        times.append(k)
                     else:
                         found += k
                         base += k * got[0]
                         if not got[1]:
                             inner += k * got[2]
-                rows.append((len(ws) + 1, found, base, inner, rare))
-            model = log_likelihoods(w, seqs, size) / np.log(10) if w else np.zeros(len(seqs))
-            out = pd.DataFrame(rows, columns=["n_tokens", "found", "base", "inner", "rare"])
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy(), held_out=pdf["held_out"].to_numpy(), model=model + out["inner"]).drop(columns="inner")
+                rows.append((doc_id, held, len(ws) + 1, found, base, inner, rare, times))
+            if load > LOAD:  # so many tokens fill the lanes
+                yield from scored(rows, seqs)
+                rows, seqs, load = [], [], 0
+        yield from scored(rows, seqs)
 
     kind = docs.schema[key].dataType.simpleString()
     ids = own.withColumn("doc_id", F.col("doc_id").cast("string"))  # a null would make floats of whole numbers
-    schema = "doc_id string, held_out boolean, n_tokens long, found long, base double, model double, rare array<struct<word: binary, k: long>>"
+    schema = "doc_id string, held_out boolean, n_tokens long, found long, base double, model double, rare array<binary>, times array<long>"
     scored = ids.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = scratch.keep(scored)
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
+    rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("k"))).alias("r")).select("row", "r.word", "r.k")
     found = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum("k").alias("k"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("s"),
     )
-    full = scored.drop("rare").join(found, "row", "left")
+    full = scored.drop("rare", "times").join(found, "row", "left")
     k, s = F.coalesce("k", F.lit(0)), F.coalesce("s", F.lit(0.0))
     return full.select(
         F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", (F.col("found") + F.coalesce("more", F.lit(0))).alias("n_known"),
