@@ -1,12 +1,12 @@
 """Quality classifier by co-training two views: text content, and page metadata.
 
 Each view has a logistic model on dense features. Both start from the labelled rows; in every round each view scores
-all unlabelled documents and hands its most confident ones, labelled by itself, to the other view. Afterwards each
+all unlabelled documents and hands confident ones, labelled by itself, to the other view. Afterwards each
 view is calibrated on labelled rows held out from training, the calibrated views are combined there by a
 logistic model, and all documents are scored.
 
-Bounds, for fitting only: LABELLED labelled rows (those of smallest id hash) and EXCHANGED pseudo-labels a view and
-round. Scoring, and the choice of pseudo-labels, cover all documents.
+Bounds, for fitting only: about LABELLED labelled rows and EXCHANGED pseudo-labels a view and round, chosen by a hash of
+the id. Scoring, and the search for confident documents, cover all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, quoted
+from .common import Scratch, fresh, hash_share, quoted
 
 LABELLED = 20_000
 EXCHANGED = 1_000
@@ -136,8 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     scratch = Scratch(spark)
     y = labels.where("quality IS NOT NULL").groupBy(quoted(key).alias("id")).agg(F.max("quality").cast("double").alias("y"))
     features = scratch.keep(_features(docs, text, key, meta).join(y, "id", "left"))
-    order = F.xxhash64("id")
-    known = features.where("y IS NOT NULL").orderBy(order, "id").limit(labelled).collect()
+    known = sorted(hash_share(features.where("y IS NOT NULL"), labelled).collect(), key=lambda r: r.id)
     target = np.array([r.y for r in known])
     held = np.arange(len(known)) % 4 == 0
     if min((target[held] > 0.5).sum(), (target[held] <= 0.5).sum(), (target[~held] > 0.5).sum(), (target[~held] <= 0.5).sum(), key=int) < 1:
@@ -147,15 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     models = {v: fit_logistic(*train[v]) for v in VIEWS}
     for _ in range(rounds):
         scored = scratch.keep(_score_features(features.where("y IS NULL").drop("y"), models))
-        chosen = []
+        picked = None
         for view, other in (VIEWS, VIEWS[::-1]):
-            p = F.col(f"p_{view}")
             for good, part in ((1.0, share), (0.0, 1 - share)):
-                sure = p >= CONFIDENT if good else p <= 1 - CONFIDENT
-                top = scored.where(sure).orderBy(F.desc(F.abs(p - 0.5)), order, "id").limit(max(1, int(exchanged * part)))
-                chosen.append(top.select("id", F.lit(other).alias("view"), F.lit(good).alias("good")))
-        picked = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3])
-        rows = features.join(F.broadcast(picked), "id").orderBy("id", "view", "good").collect()  # at most 2 * exchanged rows
+                sure = scored.where(f"p_{view} >= {CONFIDENT}" if good else f"p_{view} <= {1 - CONFIDENT}")
+                some = hash_share(sure, max(1, int(exchanged * part))).select("id", F.lit(other).alias("view"), F.lit(good).alias("good"))
+                picked = some if picked is None else picked.unionByName(some)
+        rows = features.join(F.broadcast(picked), "id").collect()  # about 2 * exchanged rows
+        rows.sort(key=lambda r: (r.id, r.view, r.good))
         scratch.drop(scored)
         for v in VIEWS:
             if own := [r for r in rows if r.view == v]:
