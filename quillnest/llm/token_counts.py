@@ -113,4 +113,5 @@ def document_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block:
     manifest = scratch.keep(write_tokens(docs, scratch.path(), vocabulary))
     files = manifest.groupBy("file").agg(F.first("bytes").alias("bytes"))
     counts = count_tokens(files, block=block)
-    return manifest.join(counts, ["file", "place"]).select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "ended")
+    # Not a broadcast: the block rows are small, but there is a count for each document.
+    return manifest.join(counts.hint("merge"), ["file", "place"]).select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "ended")
