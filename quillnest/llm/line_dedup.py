@@ -27,8 +27,8 @@ MOST_BITS = BLOCKS - 1
 PERCENT = 90
 #: Lines of fewer words are never dropped: their repetition is ordinary.
 LEAST_WORDS = 4
-#: Lines whose words are summed at once.
-CHUNK = 2000
+#: Lines that get their SimHashes together, and words that are summed at once.
+CHUNK, PIECE = 2000, 30_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in LOWER)
 
 
@@ -81,44 +81,53 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
 
 
 class WordBits(dict):
-    """Word to a row of +1 and -1 in a table; emptied when it holds ``most`` words."""
+    """Word to a row of BITS bytes, 0 or 1, in a table; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
-        self.most, self.rows = most, np.zeros((most, BITS), np.int8)
+        self.most, self.rows = most, np.zeros((most, BITS), np.uint8)
 
-    def __missing__(self, word: bytes) -> int:
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        """Rows of at most ``most`` words; unknown words are added."""
         import xxhash
 
-        n = len(self)
-        self.rows[n] = np.unpackbits(np.frombuffer(xxhash.xxh3_128_digest(word), np.uint8)).astype(np.int8) * 2 - 1
-        self[word] = n
-        return n
-
-    def sums(self, ws: list[bytes], starts: list[int]) -> np.ndarray:
-        """Sums of the words' rows from each start to the next."""
-        if len(ws) > self.most:  # one very long line: in parts
-            half = self.most // 2
-            return sum(self.sums(ws[at : at + half], [0]) for at in range(0, len(ws), half))
-        if len(self) + len(ws) > self.most:
+        new = set(ws).difference(self)
+        if len(self) + len(new) > self.most:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-        return np.add.reduceat(self.rows[at], starts, axis=0, dtype=np.int32)
+            new = set(ws)
+        if new:
+            n = len(self)
+            digests = b"".join(map(xxhash.xxh3_128_digest, new))
+            self.rows[n : n + len(new)] = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS)
+            self.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
 
     def sketches(self, lines: list[list[bytes]]) -> list[bytes]:
-        """SimHashes of lines of one or more words."""
-        out, own, starts = [], [], []
-        for k, ws in enumerate(lines):
-            if own and len(own) + len(ws) > self.most // 4:
-                out.append(self.sums(own, starts))
-                own, starts = [], []
-            starts.append(len(own))
-            own = own + ws if len(ws) > 1000 else (own.extend(ws) or own)
-            if len(ws) > self.most or k + 1 == len(lines):
-                out.append(self.sums(own, starts))
-                own, starts = [], []
-        packed = np.packbits(np.concatenate(out) > 0, axis=1) if out else np.zeros((0, BITS // 8), np.uint8)
-        return [x.tobytes() for x in packed]
+        """SimHashes of lines of one or more words: a bit is set where more than half of the words' bits are.
+
+        Bits are counted eight to a 64-bit sum, in pieces of at most 255 words, so that no count runs over.
+        """
+        total = np.zeros((len(lines), BITS), np.int64)
+        ws: list[bytes] = []
+        starts: list[int] = []
+        owners: list[int] = []
+
+        def add() -> None:
+            sums = np.add.reduceat(self.rows.view(np.uint64)[self.places(ws)], starts, axis=0).view(np.uint8)
+            np.add.at(total, owners, sums) if len(set(owners)) < len(owners) else total.__setitem__(owners, total[owners] + sums)
+            ws.clear(), starts.clear(), owners.clear()
+
+        for k, line in enumerate(lines):
+            for at in range(0, len(line), 255):
+                if len(ws) > PIECE:
+                    add()
+                starts.append(len(ws))
+                owners.append(k)
+                ws += line[at : at + 255] if len(line) > 255 else line
+        if ws:
+            add()
+        n = np.array([len(x) for x in lines])
+        return [x.tobytes() for x in np.packbits(2 * total > n[:, None], axis=1)]
 
 
 ROW = "doc_id long, line long, h1 long, h2 long, n long, sketch binary"
@@ -206,7 +215,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     def limit(n, others):
         return np.where(100 * np.minimum(n, others) >= percent * np.maximum(n, others), MOST_BITS, -1)
 
-    comp = linked_components(index, items, verify, limit, scratch)
+    comp = linked_components(index, items, verify, limit, scratch, passes=(False,))
     named = classes.join(comp.select(F.col("id").alias("h1"), "component"), "h1", "left")
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
     named = named.where("component IS NOT NULL OR first < last").join(heads, "component", "left")
@@ -237,11 +246,15 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
         out = []
         for t, d in zip(texts, dropped, strict=True):
+            if t is None:
+                out.append(None)
+                continue
             gone = set(d)
             out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
         return pd.Series(out)
 
     cut.__annotations__ = {"texts": pd.Series, "dropped": pd.Series, "return": pd.Series}
     out = docs.join(F.broadcast(drops) if few else drops, quoted(key) == F.col("_drop"), "left").drop("_drop")
-    whole = F.coalesce(F.col(name), F.array().cast("array<bigint>"))
-    return out.withColumn(text, F.when(F.col(name).isNull(), quoted(text)).otherwise(F.pandas_udf(cut, T.StringType())(F.coalesce(quoted(text), F.lit("")), whole)))
+    # Only texts that lose lines go to Python.
+    cutting = F.pandas_udf(cut, T.StringType())(F.when(F.col(name).isNotNull(), quoted(text)), F.col(name))
+    return out.withColumn(text, F.when(F.col(name).isNull(), quoted(text)).otherwise(cutting))

@@ -40,13 +40,11 @@ def _close(x: dict, y: dict, limit: Callable, first: bool, same: bool) -> Iterat
             yield min(x["id"][i], y["id"][j]), max(x["id"][i], y["id"][j])
 
 
-def _block(rows) -> dict:
+def _block(ids, comps, sizes, sketches) -> dict:
     return {
-        "id": np.array([r["id"] for r in rows], np.int64),
-        "comp": np.array([r["comp"] for r in rows], np.int64),
-        "size": np.array([r["size"] for r in rows], np.int64),
-        "sketch": np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1),
-    }
+        "id": np.asarray(ids, np.int64), "comp": np.asarray(comps, np.int64), "size": np.asarray(sizes, np.int64),
+        "sketch": np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1),
+    }
 
 
 def _residual(shared: DataFrame, sketches: DataFrame, comp: DataFrame, limit: Callable, first: bool) -> DataFrame:
@@ -55,35 +53,40 @@ def _residual(shared: DataFrame, sketches: DataFrame, comp: DataFrame, limit: Ca
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     mixed = mixed.select("sig", F.expr(f"CAST(n DIV {BLOCK} + 1 AS int)").alias("blocks"))
     dealt = rows.join(mixed, "sig").select("sig", "id", "comp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    full = dealt.join(sketches, "id").select("sig", "blocks", "block", F.struct("id", "comp", "size", "sketch").alias("r"))
-    blocks = full.groupBy("sig", "blocks", "block").agg(F.collect_list("r").alias("rows"))
-    left = blocks.select("sig", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
-    both = left.join(blocks.select("sig", "block", F.col("rows").alias("y")), ["sig", "block"])
+    full = dealt.join(sketches, "id")
+    # Lists of the same rows in the same order: plain arrays travel to Python far cheaper than structs.
+    parts = ("id", "comp", "size", "sketch")
+    blocks = full.groupBy("sig", "blocks", "block").agg(*(F.collect_list(c).alias(c) for c in parts))
+    left = blocks.select("sig", F.col("block").alias("i"), *(F.col(c).alias(f"x_{c}") for c in parts), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
+    both = left.join(blocks.select("sig", "block", *(F.col(c).alias(f"y_{c}") for c in parts)), ["sig", "block"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = set()
-            for i, j, x, y in zip(pdf["i"], pdf["block"], pdf["x"], pdf["y"], strict=True):
-                found.update(_close(_block(x), _block(y), limit, first, i == j))
+            sides = ([pdf[f"{s}_{c}"] for c in parts] for s in "xy")
+            for i, j, x, y in zip(pdf["i"], pdf["block"], *(zip(*s, strict=True) for s in sides), strict=True):
+                found.update(_close(_block(*x), _block(*y), limit, first, i == j))
             yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    return both.select("i", "block", "x", "y").mapInPandas(search, "a long, b long").distinct()
+    return both.drop("sig").mapInPandas(search, "a long, b long").distinct()
 
 
 def linked_components(
-    index: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], limit: Callable, scratch: Scratch
-) -> DataFrame:
+    index: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], limit: Callable, scratch: Scratch,
+    passes: tuple[bool, ...] = (True, False),
+) -> DataFrame:
     """id and component of all items that have a link.
 
     index: sig, id (long), where linked items share a signature; sketches: id, size, sketch (bytes of equal length);
-    verify: pairs (a, b) to those that link; limit(size, sizes): the most sketch bits in which linked items differ.
+    verify: pairs (a, b) to those that link; limit(size, sizes): the most sketch bits in which linked items differ;
+    passes: whether to look for one pair of two components first, where sketches let many through.
     """
     stars = index.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot")
     shared = scratch.keep(index.join(stars, "sig").distinct())
     tried = scratch.keep(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     links = scratch.keep(verify(tried))
     comp = components(links, scratch)
-    for first in (True, False):
+    for first in passes:
         pairs = scratch.keep(_residual(shared.select("sig", "id"), sketches, comp, limit, first).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if first:
