@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,28 @@ def hash_share(df: DataFrame, most: int, key: str = "id") -> DataFrame:
     return df if n <= most else df.where(F.pmod(F.xxhash64(quoted(key)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers live on beside the tasks of later stages."""
+    import contextlib
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over batches, and its memory released when it has ended."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

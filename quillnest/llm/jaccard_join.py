@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, mix64, quoted, select_ids, words
+from .common import Scratch, WordHashes, mix64, quoted, release, select_ids, tidy, words
 from .linkage import linked_components
 
 WORDS = 5
@@ -99,6 +99,12 @@ def signatures(h: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent:
     return np.unique(np.concatenate(out))
 
 
+def _tidied(f, *args):
+    out = f(*args)
+    release()
+    return out
+
+
 def _deal(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of the buckets in sorted hashes: equal ranges of the hash space."""
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=object).astype(np.uint64)
@@ -163,8 +169,8 @@ def _facts(docs: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": ids, "n": 0, "digest": None, "common": times}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "digest": [], "common": []})
 
-    sent = docs.mapInPandas(prefix, "bucket int, x binary, y binary, z binary, digest binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "doc_id long, n long, digest binary, common long")
+    sent = docs.mapInPandas(tidy(prefix), "bucket int, x binary, y binary, z binary, digest binary")
+    return sent.groupBy("bucket").applyInPandas(lambda pdf: _tidied(meet, pdf), "doc_id long, n long, digest binary, common long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -185,7 +191,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     batch, load = uuid.uuid4().hex, 0
             yield pd.DataFrame(rows, columns=["doc_id", "n", "hashes", "sketch", "batch"])
 
-    return docs.mapInPandas(build, "doc_id long, n long, hashes binary, sketch binary, batch string")
+    return docs.mapInPandas(tidy(build), "doc_id long, n long, hashes binary, sketch binary, batch string")
 
 
 def _index(sets: DataFrame, buckets: int, percent: int, frequent: int) -> DataFrame:
@@ -223,10 +229,10 @@ def _index(sets: DataFrame, buckets: int, percent: int, frequent: int) -> DataFr
             sigs.append(got.view(np.int64))
         return pd.DataFrame({"sig": np.concatenate(sigs) if sigs else [], "id": np.concatenate(ids) if ids else []}).astype("int64")
 
-    sent = sets.select("batch", "hashes").groupBy("batch").applyInPandas(send, "bucket int, batch string, h binary, df binary")
-    answers = sent.groupBy("bucket").applyInPandas(total, "batch string, h binary, df binary")
+    sent = sets.select("batch", "hashes").groupBy("batch").applyInPandas(lambda pdf: _tidied(send, pdf), "bucket int, batch string, h binary, df binary")
+    answers = sent.groupBy("bucket").applyInPandas(lambda pdf: _tidied(total, pdf), "batch string, h binary, df binary")
     own = sets.select("batch", "doc_id", "hashes").groupBy("batch")
-    return own.cogroup(answers.groupBy("batch")).applyInPandas(sign, "sig long, id long")
+    return own.cogroup(answers.groupBy("batch")).applyInPandas(lambda own, answers: _tidied(sign, own, answers), "sig long, id long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = WORDS) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .components import components
 
 #: Items of a block: block pairs compare at most BLOCK x BLOCK sketches at once.
@@ -68,7 +68,7 @@ def _residual(shared: DataFrame, sketches: DataFrame, comp: DataFrame, limit: Ca
                 found.update(_close(_block(*x), _block(*y), limit, first, i == j))
             yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    return both.drop("sig").mapInPandas(search, "a long, b long").distinct()
+    return both.drop("sig").mapInPandas(tidy(search), "a long, b long").distinct()
 
 
 def linked_components(

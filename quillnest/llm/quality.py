@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, hash_share, quoted
+from .common import Scratch, fresh, hash_share, quoted, release, tidy
 
 LABELLED = 20_000
 EXCHANGED = 1_000
@@ -110,7 +110,7 @@ def _features(docs: DataFrame, text: str, key: str, meta: tuple[str, ...]) -> Da
     own = [_meta(docs, c).alias(f"m{i}") for i, c in enumerate(meta)]
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.where(quoted(key).isNotNull()).select(quoted(key).alias("id"), quoted(text).alias("text"), *own)
-    return rows.mapInPandas(build, f"id {kind}, content binary, metadata binary")
+    return rows.mapInPandas(tidy(build), f"id {kind}, content binary, metadata binary")
 
 
 def _meta(docs: DataFrame, c: str) -> Column:
@@ -178,7 +178,7 @@ def _score_features(features: DataFrame, models: dict) -> DataFrame:
                 out[f"p_{v}"] = _sigmoid(logit(models[v], x))
             yield pd.DataFrame(out)
 
-    return features.mapInPandas(run, f"id {features.schema['id'].dataType.simpleString()}, p_content double, p_metadata double")
+    return features.mapInPandas(tidy(run), f"id {features.schema['id'].dataType.simpleString()}, p_content double, p_metadata double")
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -194,6 +194,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = T
         }
         each = {v: logit(model["calibrate"][v], logit(model[v], x[v])[:, None]) for v in VIEWS}
         total = logit(model["combine"], np.column_stack([each[v] for v in VIEWS]))
+        del x
+        release()
         return pd.DataFrame({v: _sigmoid(each[v]) for v in VIEWS} | {"score": _sigmoid(total)})
 
     run.__annotations__ = {"texts": pd.Series, "columns": pd.Series, "return": pd.DataFrame}
