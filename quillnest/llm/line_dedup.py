@@ -1,9 +1,10 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: prefixes of word pairs, edit similarity, connected groups.
 
 Lines are split at line feeds and normalised: A-Z lower-cased, digits as 0, ASCII signs and white space as one space.
-Equal normalised lines are one class (rows of 16 bytes, pre-aggregated). Each class gets a SimHash of 128 bits over its
-words; classes whose SimHashes differ in at most MOST_BITS bits share one of four blocks of 32 bits. Candidates are
-verified by word edit distance, see ``linkage`` for hot blocks, and of each connected group the occurrence
+Equal normalised lines are one class (rows of 16 bytes, pre-aggregated). Two lines within the edit similarity keep most
+of their pairs of neighbouring words, so they share one of the few rarest pairs of each (see ``reach``): these are the
+signatures, and no line within the similarity is missed. Candidates are ruled out by word parities and verified by word
+edit distance, see ``linkage`` for hot signatures, and of each connected group the occurrence
 that comes first by (doc_id, line number) stays.
 """
 
@@ -17,18 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, BROADCAST_IDS, Scratch, fresh, quoted, select_ids
+from .common import LOWER, BROADCAST_IDS, Scratch, WordHashes, fresh, hash_share, mix64, quoted, select_ids, tidy
 from .linkage import linked_components
 
 BITS = 128
-BLOCKS = 4
-MOST_BITS = BLOCKS - 1
 #: Edit similarity of two lines: 1 - edits / words of the longer one, in percent.
 PERCENT = 90
+#: Under it, short lines can be similar without a common word pair.
+LEAST_PERCENT = 70
 #: Lines of fewer words are never dropped: their repetition is ordinary.
 LEAST_WORDS = 4
-#: Lines that get their SimHashes together, and words that are summed at once.
-CHUNK, PIECE = 2000, 30_000
+#: Lines that get their signatures together.
+CHUNK = 2000
+#: Documents in which words are counted, and words that are known as frequent: for the order of signatures only.
+SAMPLED, FREQUENT = 5000, 50_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in LOWER)
 
 
@@ -80,69 +83,94 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return edits(u, v, most) <= most
 
 
-class WordBits(dict):
-    """Word to a row of BITS bytes, 0 or 1, in a table; emptied when it holds ``most`` words."""
+def apart(n, others, percent: int = PERCENT):
+    """The most word parities in which lines of so many words differ if they are similar, or -1 if they can't be.
 
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most, self.rows = most, np.zeros((most, BITS), np.uint8)
+    Of the edits, at least the difference of the lengths are insertions: they change one parity, the others up to two.
+    """
+    longer, d = np.maximum(n, others), np.abs(n - others)
+    e = (100 - percent) * longer // 100
+    return np.where(d <= e, 2 * e - d, -1)
 
-    def places(self, ws: list[bytes]) -> np.ndarray:
-        """Rows of at most ``most`` words; unknown words are added."""
-        import xxhash
 
-        new = set(ws).difference(self)
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = set(ws)
-        if new:
-            n = len(self)
-            digests = b"".join(map(xxhash.xxh3_128_digest, new))
-            self.rows[n : n + len(new)] = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS)
-            self.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-
-    def sketches(self, lines: list[list[bytes]]) -> list[bytes]:
-        """SimHashes of lines of one or more words: a bit is set where more than half of the words' bits are.
-
-        Bits are counted eight to a 64-bit sum, in pieces of at most 255 words, so that no count runs over.
-        """
-        total = np.zeros((len(lines), BITS), np.int64)
-        ws: list[bytes] = []
-        starts: list[int] = []
-        owners: list[int] = []
-
-        def add() -> None:
-            sums = np.add.reduceat(self.rows.view(np.uint64)[self.places(ws)], starts, axis=0).view(np.uint8)
-            np.add.at(total, owners, sums) if len(set(owners)) < len(owners) else total.__setitem__(owners, total[owners] + sums)
-            ws.clear(), starts.clear(), owners.clear()
-
-        for k, line in enumerate(lines):
-            for at in range(0, len(line), 255):
-                if len(ws) > PIECE:
-                    add()
-                starts.append(len(ws))
-                owners.append(k)
-                ws += line[at : at + 255] if len(line) > 255 else line
-        if ws:
-            add()
-        n = np.array([len(x) for x in lines])
-        return [x.tobytes() for x in np.packbits(2 * total > n[:, None], axis=1)]
-
-
-ROW = "doc_id long, line long, h1 long, h2 long, n long, sketch binary"
-
-
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each eligible line: where it is, the hash of its normalised form, its words, its SimHash.
-
-    The SimHash is left out for a line that a batch has had before: any row of the class will do.
+def reach(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many of its word pairs, in any common order, a line of n words needs as signatures; 0 without similar lines.
+
+    An insertion breaks one pair of the shorter line, another edit two. So if e edits lead to a line longer by d, at
+    most 2 e - d pairs of the shorter one and 2 e of the longer one are not shared, and one more is enough.
+    """
+    sizes, back = np.unique(n, return_inverse=True)
+    out = np.zeros(len(sizes), np.int64)
+    for i, x in enumerate(sizes.tolist()):
+        # Each ten-odd words more allow an edit more, which breaks two pairs at most: the first jumps decide.
+        d = np.arange(min(x, 2 * 100 // max(1, 100 - percent) + 2) + 1)
+        out[i] = apart(x, x + d, percent).max()
+    return np.where(out > 0, out + 1, 0)[back]
+
+
+def frequencies(docs: DataFrame, sampled: int = SAMPLED, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of frequent words and their counts in a share of the documents (column text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from collections import Counter
+
+        c: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                for ws in normalised_lines(t):
+                    c.update(ws)
+        h = WordHashes().of(list(c)).view(np.int64)
+        yield pd.DataFrame({"h": h, "c": np.fromiter(c.values(), np.int64, len(c))})
+
+    counts = hash_share(docs, sampled, "doc_id").select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = counts.where("c > 1").orderBy(F.desc("c"), "h").limit(frequent).collect()
+    h, c = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def signatures(lines: list[list[bytes]], hashes: WordHashes, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """Word parities, BITS bits, and signatures of lines of one or more words."""
+    n = np.array([len(x) for x in lines])
+    h = hashes.of([w for x in lines for w in x])
+    line = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(line * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(n) * BITS) & 1
+    sketch = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
+    often = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        often = np.where(common[0][at] == h, common[1][at], 0)
+    want = reach(n, percent)
+    first = np.flatnonzero((line[:-1] == line[1:]) & (want[line[:-1]] > 0))
+    pair, own = mix64(mix64(h[first]) + h[first + 1]), line[first]
+    order = np.lexsort((pair, np.minimum(often[first], often[first + 1]), own))
+    pair, own = pair[order], own[order]
+    place = np.arange(len(own))
+    # The same pair again in a line is another signature: pairs are counted with their repeats.
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (pair[1:] != pair[:-1])
+    again = place - np.maximum.accumulate(np.where(new, place, 0))
+    sig = np.where(again > 0, mix64(pair + again.astype(np.uint64)), pair)
+    start = np.searchsorted(own, np.arange(len(n)))
+    end = np.searchsorted(own, np.arange(len(n)), "right")
+    stop = np.minimum(start + want, end)
+    return [x.tobytes() for x in sketch], [sig[a:b].view(np.int64) for a, b in zip(start, stop, strict=True)]
+
+
+ROW = "doc_id long, line long, h1 long, h2 long, n long, sketch binary, sigs array<long>"
+
+
+def _lines(docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """A row for each eligible line: where it is, the hash of its normalised form, its words, parities and signatures.
+
+    The last two are left out for a line that a batch has had before: those of any row of the class will do.
     """
+    common = frequencies(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        bits = WordBits()
+        hashes = WordHashes()
         for pdf in batches:
             seen: set[bytes] = set()
             ids, at, digest, n, new, lines = [], [], [], [], [], []
@@ -159,13 +187,14 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                             new.append(len(ids) - 1)
                             lines.append(ws)
             sketch: list = [None] * len(ids)
+            sigs: list = [None] * len(ids)
             for a in range(0, len(new), CHUNK):
-                for i, s in zip(new[a : a + CHUNK], bits.sketches(lines[a : a + CHUNK]), strict=True):
-                    sketch[i] = s
+                for i, s, g in zip(new[a : a + CHUNK], *signatures(lines[a : a + CHUNK], hashes, common, percent), strict=True):
+                    sketch[i], sigs[i] = s, g if len(g) else None
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "line": np.array(at, np.int64), "h1": two[:, 0], "h2": two[:, 1], "n": np.array(n, np.int64), "sketch": sketch})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "line": np.array(at, np.int64), "h1": two[:, 0], "h2": two[:, 1], "n": np.array(n, np.int64), "sketch": sketch, "sigs": pd.Series(sigs, dtype=object)})
 
-    return docs.mapInPandas(run, ROW)
+    return docs.mapInPandas(tidy(run), ROW)
 
 
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -187,24 +216,25 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     Earlier lines are those of the same connected group. Lines of fewer than ``least`` words, those of null
     texts and those of rows without a doc_id are never repeated ones. Rows that repeat a doc_id share its lines' numbers.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} or more, not {percent}")
     scratch = Scratch(docs.sparkSession)
     own = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.keep(_lines(own, least))
+    rows = scratch.keep(_lines(own, least, percent))
     place = F.struct("doc_id", "line")
     classes = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = scratch.keep(classes)
     # An id of 64 bits: should two classes share one, their texts are both verified under it.
     items = classes.select(F.col("h1").alias("id"), F.col("n").alias("size"), "sketch")
-    block = lambda i: F.conv(F.hex(F.substring("sketch", F.lit(4 * i + 1), F.lit(4))), 16, 10).cast("long") + F.lit(i << 32)
-    index = items.select("id", F.explode(F.array(*(block(i) for i in range(BLOCKS)))).alias("sig"))
+    index = rows.where("sigs IS NOT NULL").select(F.col("h1").alias("id"), F.explode("sigs").alias("sig"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         def same(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([similar(a, b, percent) for a, b in zip(x, y, strict=True)], dtype=bool)
 
         same.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-        sketch = lambda c: items.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_s"))
-        near = scratch.keep(_near(pairs.join(sketch("b"), "b").join(sketch("a"), "a")))
+        sketch = lambda c: items.select(F.col("id").alias(c), F.col("size").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
+        near = scratch.keep(_near(pairs.join(sketch("b"), "b").join(sketch("a"), "a"), percent))
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         places = scratch.keep(classes.select(F.col("h1").alias("id"), "first.doc_id", "first.line").join(ids, "id", "left_semi"))
         texts = scratch.keep(_line_texts(own, places))
@@ -213,7 +243,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
         return full.where(F.pandas_udf(same, T.BooleanType())("a_t", "b_t")).select("a", "b").distinct()
 
     def limit(n, others):
-        return np.where(100 * np.minimum(n, others) >= percent * np.maximum(n, others), MOST_BITS, -1)
+        return apart(n, others, percent)
 
     comp = linked_components(index, items, verify, limit, scratch, passes=(False,))
     named = classes.join(comp.select(F.col("id").alias("h1"), "component"), "h1", "left")
@@ -223,11 +253,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     return rows.join(named, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "line").distinct()
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs whose SimHashes differ in MOST_BITS bits at most; native bit counts over two halves."""
-    half = lambda c, i: F.conv(F.hex(F.substring(c, F.lit(4 * i + 1), F.lit(4))), 16, 10).cast("long")
-    bits = sum((F.bit_count(half("a_s", i).bitwiseXOR(half("b_s", i))) for i in range(BLOCKS)), F.lit(0))
-    return pairs.where(bits <= MOST_BITS).select("a", "b").distinct()
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their word parities and lengths don't rule out, as ``apart``; native bit counts over parts of 32 bits."""
+    part = lambda c, i: F.conv(F.hex(F.substring(c, F.lit(4 * i + 1), F.lit(4))), 16, 10).cast("long")
+    bits = sum((F.bit_count(part("a_s", i).bitwiseXOR(part("b_s", i))) for i in range(BITS // 32)), F.lit(0))
+    edits_left = F.expr(f"{100 - percent} * greatest(a_n, b_n) DIV 100")
+    far = F.abs(F.col("a_n") - F.col("b_n"))
+    return pairs.where((far <= edits_left) & (bits <= 2 * edits_left - far)).select("a", "b").distinct()
 
 
 def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:

@@ -241,6 +241,44 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicate_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_finds_planted_edits(spark):
+    r = random.Random(5)
+    rows, n = [], 0
+    for size in (10, 15, 20, 30, 50, 120):
+        for _ in range(40):
+            ws = [f"{r.choice(WORDS)}{r.choice('abcdefgh')}" for _ in range(size)]
+            near, far = list(ws), list(ws)
+            for k, at in enumerate(r.sample(range(size), size // 10)):
+                near[at] = ("", "new", f"{near[at]} more")[k % 3 if size > 10 else 1]
+            for at in r.sample(range(size), size // 10 + 2):
+                far[at] = "other"
+            rows += [(n, " ".join(ws)), (n + 1, " ".join(near)), (n + 2, " ".join(far))]
+            n += 3
+    similar = {i for i, t in rows if i % 3 and line_dedup.similar(" ".join(rows[i - i % 3][1].split()), " ".join(t.split()))}
+    found = {x.doc_id for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == similar and len([i for i in similar if i % 3 == 1]) >= 200
+
+
+def test_line_signatures_meet():
+    r = random.Random(6)
+    for percent in (70, 80, 90, 95):
+        for _ in range(400):
+            a = [r.choice(b"abcdefghijkl") for _ in range(r.randint(1, 60))]
+            b = list(a)
+            for _ in range(r.randint(0, max(1, len(a) * (100 - percent) // 90))):
+                at = r.randrange(len(b) + 1)
+                b[at : at + r.randint(0, 1)] = [r.choice(b"abcdefghijkl") for _ in range(r.randint(0, 1))]
+            x, y = ([bytes([c]) for c in z] for z in (a, b))
+            if not b or a == b or not line_dedup.similar(*(b" ".join(z).decode() for z in (x, y)), percent):
+                continue
+            h = line_dedup.WordHashes()
+            common = (np.sort(h.of([b"a", b"b", b"c"])), np.array([5, 9, 7]))
+            (s, t), (p, q) = line_dedup.signatures([x, y], h, common, percent)
+            assert set(p.tolist()) & set(q.tolist()), (x, y, percent)
+            differ = np.bitwise_count(np.frombuffer(s, np.uint8) ^ np.frombuffer(t, np.uint8)).sum()
+            assert differ <= line_dedup.apart(len(x), len(y), percent)
+
+
 def test_edits():
     r = random.Random(3)
 
