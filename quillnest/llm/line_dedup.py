@@ -1,6 +1,7 @@
 """Fuzzy line deduplication: prefixes of word pairs, edit similarity, connected groups.
 
-Lines are split at line feeds and normalised: A-Z lower-cased, digits as 0, ASCII signs and white space as one space.
+Lines are split at line feeds and normalised: A-Z lower-cased, digits as 0 (but in lines of one to three words), ASCII
+signs and white space as one space, each character of a script without spaces as a word.
 Equal normalised lines are one class (rows of 16 bytes, pre-aggregated). Two lines within the edit similarity keep most
 of their pairs of neighbouring words, so they share one of the few rarest pairs of each (see ``reach``): these are the
 signatures, and no line within the similarity is missed. Candidates are ruled out by word parities and verified by word
@@ -10,6 +11,7 @@ that comes first by (doc_id, line number) stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +28,26 @@ BITS = 128
 PERCENT = 90
 #: Under it, short lines can be similar without a common word pair.
 LEAST_PERCENT = 70
-#: Lines of fewer words are never dropped: their repetition is ordinary.
+#: Default of ``least``, and fewer words than so many keep their digits: they have little else to tell them apart.
 LEAST_WORDS = 4
 #: Lines that get their signatures together.
 CHUNK = 2000
 #: Documents in which words are counted, and words that are known as frequent: for the order of signatures only.
 SAMPLED, FREQUENT = 5000, 50_000
-_FOLD = bytes(b if b >= 128 or 97 <= b <= 122 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in LOWER)
+_SIGNS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 or b == 10 else 32 for b in LOWER)
+_DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
+#: Scripts without spaces between words (Thai to Khmer, kana, bopomofo, Han): each character is a word.
+UNSEGMENTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 
 
 def normalised_lines(text: str | None) -> list[list[bytes]]:
     """The words of each line."""
-    return [x.split() for x in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")]
+    text = text or ""
+    if not text.isascii() and UNSEGMENTED.search(text):
+        text = UNSEGMENTED.sub(r" \g<0> ", text)
+    data = text.encode("utf-8", "surrogatepass").translate(_SIGNS)
+    folded = [x.split() for x in data.translate(_DIGITS).split(b"\n")]
+    return [x.split() if len(ws) < LEAST_WORDS else ws for x, ws in zip(data.split(b"\n"), folded, strict=True)]
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -226,7 +236,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     classes = scratch.keep(classes)
     # An id of 64 bits: should two classes share one, their texts are both verified under it.
     items = classes.select(F.col("h1").alias("id"), F.col("n").alias("size"), "sketch")
-    index = rows.where("sigs IS NOT NULL").select(F.col("h1").alias("id"), F.explode("sigs").alias("sig"))
+    # Dealt by signature once, for the search of pivots and the join with them.
+    index = rows.where("sigs IS NOT NULL").select(F.col("h1").alias("id"), F.explode("sigs").alias("sig")).repartition("sig")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def same(x: pd.Series, y: pd.Series) -> pd.Series:

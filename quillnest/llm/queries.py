@@ -78,7 +78,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = deduplicate_lines(docs)
+    out = deduplicate_lines(docs, least=1)
     n_dropped = F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long")
     return out.select(
         "doc_id", n_dropped.alias("n_dropped"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillnest.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, secret_scan, token_counts
+from quillnest.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, queries, secret_scan, token_counts
 from quillnest.llm.common import Scratch, words
 from quillnest.llm.components import components
 
@@ -259,6 +259,19 @@ def test_line_dedup_finds_planted_edits(spark):
     assert found == similar and len([i for i in similar if i % 3 == 1]) >= 200
 
 
+def test_short_and_unsegmented_lines(spark, tmp_path):
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    thai = "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    d = [(1, f"Contents\n{han}\n{thai}\n7\n---"), (2, f"contents.\n\n8\n{han}\n---"), (3, f"{han.replace('荒', '流')}\n{thai}\nread on\n7\nRead on!")]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    left = {1: f"Contents\n{han}\n{thai}\n7\n---", 2: "\n8\n---", 3: "read on"}
+    for i, t in left.items():
+        assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest(), i
+    dropped = {r.doc_id: r.dropped_lines for r in line_dedup.deduplicate_lines(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert dropped == {1: None, 2: [3], 3: [0, 1]}
+
+
 def test_line_signatures_meet():
     r = random.Random(6)
     for percent in (70, 80, 90, 95):
