@@ -5,7 +5,7 @@ Word counts of all training texts give the base model. The recurrent model predi
 probability. Documents run through the network in lanes, in windows of steps; the state is carried from window to
 window until the document ends, so its log-likelihood is that of the whole text.
 
-Training is distributed: a fixed share of the training documents (TRAIN_ONE_IN, so it grows with the corpus) is dealt to
+Training is distributed: all documents that are not held out (or one in ``one_in`` where a caller asks for it) are dealt to
 shards, each runs truncated backpropagation from the common weights, and the weights are averaged by tokens, round
 by round. Counts, vocabulary and scores cover all documents. Words that are not among the KNOWN most frequent ones are
 looked up by a join, so no table that grows with the vocabulary is sent anywhere.
@@ -28,7 +28,7 @@ from .common import Scratch, quoted, words
 PREDICTED = 2000
 KNOWN = 131_072
 HIDDEN = 24
-TRAIN_ONE_IN = 16
+TRAIN_ONE_IN = 1
 ROUNDS = 2
 #: Steps of truncated backpropagation, and of a scoring window; lanes of each.
 STEPS, WINDOW = 16, 48
@@ -311,6 +311,8 @@ def fit_network(texts: DataFrame, top: list[tuple[bytes, int]], rest: float, tok
 def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
+    one_in: the network learns from one in so many of the documents that are not held out; counts are always of all.
+
     A null or empty text is the end symbol alone. Rows without id are learned from and scored; repeated rows count
     each. Without training tokens every word is unknown. An empty table gives an empty result.
     """

@@ -351,6 +351,19 @@ def test_lm_gradients_and_scores(spark, docs, monkeypatch):
     assert lm_score.score_texts(docs.where("false")).count() == 0
 
 
+def test_lm_learns_from_all_that_is_not_held_out(spark, monkeypatch):
+    rows = [(i, f"some text number {i}") for i in range(200)] + [(None, "no id")]
+    learned, fit = [], lm_score.fit_network
+
+    def spy(texts, top, rest, tokens, rounds=lm_score.ROUNDS):
+        learned.extend((r.id, r.text) for r in texts.collect())
+        return fit(texts, top, rest, tokens, rounds)
+
+    monkeypatch.setattr(lm_score, "fit_network", spy)
+    lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert sorted(learned) == sorted((str(i) if i is not None else "", t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10)
+
+
 def test_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").withColumn("Quality", F.lit(1))
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
