@@ -405,3 +405,16 @@ def test_projected_gradient_reaches_the_constrained_optimum(spark):
     assert (r >= 0).all() and r[1] == 0 and r[2] == 0  # only the first document's mixture is near the target
     best = min((float(((10 * x * p[0] - np.array(got["wanted"])) ** 2).sum()), x) for x in np.linspace(0, 5, 5001))
     assert abs(r[0] - best[1]) < 0.01
+
+
+def test_rates_reach_the_target_of_a_rare_domain(spark):
+    rng = np.random.default_rng(4)
+    s = rng.normal(0, 1, (3000, 3))
+    s[np.arange(3000), np.where(np.arange(3000) < 3, 2, np.where(np.arange(3000) < 60, 1, 0))] += 4
+    p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+    table = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, posterior array<double>").coalesce(1)
+    got = mixing.fit_rates(table, [0.97, 0.02, 0.01])
+    totals = 100 * mixing.rates(p, got["start"], got["path"]) @ p
+    assert np.abs(totals / 300_000 - [0.97, 0.02, 0.01]).max() < mixing.TOLERANCE and got["gap"] < mixing.TOLERANCE
+    never = spark.createDataFrame([(10, [1.0, 0.0])] * 5, "n_tokens long, posterior array<double>").coalesce(1)
+    assert abs(mixing.fit_rates(never, [0.5, 0.5])["gap"] - 0.5) < 1e-6
