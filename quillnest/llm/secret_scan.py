@@ -2,7 +2,8 @@
 
 A BPE vocabulary spends few tokens on what resembles language and many on random strings. Candidate strings with
 fewer characters per token than a limit are reported as kind ``random``, unless they are known digests
-(hexadecimal of digest length), UUIDs or identifiers (words joined by case, digits or underscores).
+(hexadecimal of digest length), UUIDs or identifiers (words joined by case, digits or underscores, each of which has
+as many characters per token itself).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 IDENTIFIER = re.compile(r"[_-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})([_/+=-]*([A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}(?!\d)))*[_=-]*")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -59,17 +61,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(s: str) -> bool:
-    """Digests, UUIDs and identifiers: long strings that are no secrets."""
-    if DIGEST.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    """Digests and UUIDs: long strings that are no secrets."""
+    if DIGEST.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s):
         return True
     return len(set(s)) < 8  # rules, padding and repeated signs
 
 
+def identifier(s: str, enc, limit: float) -> bool:
+    """Words joined by case, digits or underscores: each part, as a word of a text, passes the test that the whole failed."""
+    return IDENTIFIER.fullmatch(s) is not None and all(len(w) >= limit * len(enc.encode_ordinary(f" {w.lower()}")) for w in PART.findall(s))
+
+
 def random_spans(text: str, enc, limit: float) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (s.isalpha() and (s.islower() or s.istitle())) and not known(s) and len(s) < limit * len(enc.encode_ordinary(s)):
+        if not known(s) and len(s) < limit * len(enc.encode_ordinary(s)) and not identifier(s, enc, limit):
             out.append((m.start(), 3, m.end()))
     return out
 

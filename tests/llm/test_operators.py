@@ -189,6 +189,16 @@ def test_secrets(spark):
     assert not any(s[0] == "random" for i in (4, 8, 11) for s in got[i])
 
 
+def test_random_strings_of_one_case_are_not_identifiers():
+    enc, r = secret_scan.encoder(secret_scan.VOCABULARY), random.Random(8)
+    for signs, least in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.95)):
+        keys = ["".join(r.choice(signs) for _ in range(32)) for _ in range(200)]
+        far = [k for k in keys if len(k) < 2.0 * len(enc.encode_ordinary(k))]
+        assert len([k for k in far if secret_scan.random_spans(k, enc, 2.0)]) >= least * len(far) > 0
+    for s in ("MAX_NUMBER_OF_OPEN_CONNECTIONS", "getUserAccountByName2", "ordinary_long_identifier_name_here"):
+        assert not secret_scan.random_spans(s, enc, 2.0)
+
+
 def test_token_counts(spark, docs):
     enc = secret_scan.encoder(secret_scan.VOCABULARY)
     for block in (7, 2_000_000):
