@@ -30,6 +30,8 @@ STEPS = 2000
 TOLERANCE = 1e-4
 #: Mean movement of the rates in a step at which they stand still.
 STILL = 1e-7
+#: Or the distance from the targets has lost less than a thousandth in so many steps.
+STALLED = 25
 #: Target shares of tokens by domain.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
 
@@ -150,6 +152,7 @@ def fit_rates(table: DataFrame, targets: list[float], epochs: float = 1.0, steps
     path: list = []
     totals, previous, age = start * first[1 : 1 + k], None, 0
     measure = measures.pop(0)
+    errors: list[float] = []
     for _ in range(steps):
         if np.abs((totals - want) / budget).max() < TOLERANCE:
             break
@@ -167,10 +170,12 @@ def fit_rates(table: DataFrame, targets: list[float], epochs: float = 1.0, steps
         got = sums(moved)
         previous, totals = totals, got[:k]
         age = age + 1 if (totals - want) @ measure @ (totals - want) <= error else 0  # restart when it swings over
-        if got[k] < STILL * budget:
+        errors.append(float((totals - want) @ measure @ (totals - want)))
+        stalled = len(errors) > STALLED and min(errors[-STALLED:]) > 0.999 * min(errors[:-STALLED])
+        if stalled or got[k] < STILL * budget:
             if not measures:
                 break
-            measure, previous, age = measures.pop(0), None, 0
+            measure, previous, age, errors = measures.pop(0), None, 0, []
     return {"start": start, "path": path, "totals": list(totals), "wanted": list(want), "gap": float(np.abs((totals - want) / budget).max())}
 
 
