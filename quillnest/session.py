@@ -24,9 +24,13 @@ def confs(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/quillnest-{uuid.uuid4().hex}"
 
 
 def nullable(df: DataFrame) -> DataFrame:
