@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillnest.session import confs
+from quillnest.session import confs, scratch_path
 
 #: Byte tables: A-Z to lower case; the same and all ASCII but letters and digits to a space.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -30,8 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-        self.base = f"{base.rstrip('/')}/quillnest-{uuid.uuid4().hex}"
+        self.base = scratch_path(spark)
 
     def path(self) -> str:
         return f"{self.base}/{uuid.uuid4().hex}"
@@ -77,10 +76,11 @@ def select_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are; more go by shuffle.
     Null keys count as equal to null.
     """
-    ids = ids.select(F.col(key).alias("_id")).distinct()
+    (name,) = fresh(df, "_id")
+    ids = ids.select(quoted(key).alias(name)).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, quoted(key).eqNullSafe(F.col("_id")), how)
+    return df.join(ids, quoted(key).eqNullSafe(quoted(name)), how)
 
 
 def hash_share(df: DataFrame, most: int, key: str = "id") -> DataFrame:
