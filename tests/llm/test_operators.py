@@ -135,7 +135,7 @@ def test_decontaminate(spark, docs):
     assert "_hits" in out.columns and set(docs.columns) <= set(out.columns)
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    windows = {}
+    windows = {("a", "b", "c"): set()}  # of an item without id: hits of no item
     for item, t in ((1, texts()[0]), (2, "one"), (10, texts()[0])):
         ws = word.findall(lower(t))
         for i in range(max(1, len(ws) - 12)):
@@ -143,21 +143,23 @@ def test_decontaminate(spark, docs):
     for r in out.collect():
         t = (texts() + EDGE)[r.doc_id]
         ws, hit, items = word.findall(lower(t)), set(), set()
-        for size in (1, 13):
+        for size in (1, 3, 13):
             for i in range(len(ws) - size + 1):
-                if own := windows.get(tuple(ws[i : i + size])):
+                if (own := windows.get(tuple(ws[i : i + size]))) is not None:
                     hit |= set(range(i, i + size))
                     items |= own
         h = r._hits
         assert (h.n_words, h.n_hit, h.items) == (len(ws), len(hit), sorted(items))
         assert h.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(ws))
+        runs = "".join("x" if i in hit else " " for i in range(len(ws))).split()
+        assert h.longest == max(map(len, runs), default=0)
         assert sum(len(word.findall(lower(t[a:b]))) for a, b in h.spans) == len(hit)
     parts = decontaminate.parts(bench, chars=10)
     assert sum(len(p) for p in parts) == 5
     split = list(decontaminate.parts(bench, chars=300))
     both = None
     for p in split:
-        one = decontaminate.hits(F.col("text"), [(i, t) for i, t in p if i is not None])
+        one = decontaminate.hits(F.col("text"), p)
         both = one if both is None else decontaminate._both(both, one)
     single = {r.doc_id: (r.h.n_words, r.h.items) for r in docs.select("doc_id", both.alias("h")).collect()}
     assert single == {r.doc_id: (r._hits.n_words, r._hits["items"]) for r in out.collect()}
@@ -233,6 +235,19 @@ def test_chat_format(spark):
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
+def test_long_conversation(spark):
+    n = 5000
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    text = F.concat(F.lit("h\u00e9llo <b> \\ w\U0001f600rld "), F.col("id").cast("string"))
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    out = chat_format.format_conversations(df)
+    r = out.select("*", chat_format.parse(F.col("formatted")).alias("t"), chat_format.masked(F.col("formatted"), F.col("loss_spans")).alias("m")).first()
+    want = [(("assistant", "user")[i % 3 == 0], f"h\u00e9llo <b> \\ w\U0001f600rld {i}") for i in range(n)]
+    assert [(t.role, t.text) for t in r.t] == want
+    assert r.m == "".join(x for who, x in want if who == "assistant")
+    assert len(r.loss_spans) == sum(who == "assistant" for who, _ in want)
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog again and again"
     long = " ".join(f"word{i % 700}a" for i in range(3000))
