@@ -28,8 +28,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-IDENTIFIER = re.compile(r"[_-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})([_/+=-]*([A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}(?!\d)))*[_=-]*")
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words of an identifier, as its case divides it, and its numbers: runs are whole, so a string is read once.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Digits of a number inside an identifier.
+NUMBER = 4
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -68,8 +70,12 @@ def known(s: str) -> bool:
 
 
 def identifier(s: str, enc, limit: float) -> bool:
-    """Words joined by case, digits or underscores: each part, as a word of a text, passes the test that the whole failed."""
-    return IDENTIFIER.fullmatch(s) is not None and all(len(w) >= limit * len(enc.encode_ordinary(f" {w.lower()}")) for w in PART.findall(s))
+    """Words joined by case, numbers or signs: each word, as one of a text, passes the test that the whole failed."""
+    parts = PART.findall(s)
+    names = [w for w in parts if not w[0].isdigit()]
+    if not names or parts[0] != names[0] or any(len(w) > NUMBER for w in parts if w[0].isdigit()):
+        return False
+    return all(len(w) >= max(2, limit * len(enc.encode_ordinary(f" {w.lower()}"))) for w in names)
 
 
 def random_spans(text: str, enc, limit: float) -> list[tuple[int, int, int]]:
