@@ -11,6 +11,8 @@ come from a text and ``parse`` restores every turn exactly, the turns inside a m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,45 +45,65 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         ).alias("t"),
     )
     convs = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # Blocks: role and escaped texts, folded over the sorted turns.
-    first = F.expr("CAST(array() AS array<struct<role: string, texts: array<string>>>)")
-
-    def put(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (last["role"] == x["role"])
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(x["text"]))).alias("texts"))
-        new = F.struct(x["role"].alias("role"), F.array(escape(x["text"])).alias("texts"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
-
-    blocks = convs.select("conv_id", F.aggregate("ts", first, put).alias("blocks"))
-    head = lambda b: F.concat(F.lit("<turn>"), F.replace(escape(b["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    parts = blocks.select(
-        "conv_id",
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                head(b).alias("head"), F.array_join(b["texts"], "<next>").alias("body"), b["role"].alias("role"), b["texts"].alias("texts")
-            ),
-        ).alias("parts"),
-    )
-    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("</turn>\n"))), "")
-    # Where each learned text lies in the output: block starts are running sums of block lengths.
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start: bigint, length: bigint>>)").alias("spans"))
-
-    def span(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["head"])
-        inner = F.aggregate(
-            p["texts"],
-            F.struct(start.cast("long").alias("at"), acc["spans"].alias("spans")),
-            lambda a, x: F.struct(
-                (a["at"] + F.char_length(x) + 6).cast("long").alias("at"),
-                F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.char_length(x).cast("long").alias("length")))).alias("spans"),
-            ),
+
+    def output(ps: Column) -> Column:
+        at = running(F.transform(ps, lambda p: length(p["head"]) + length(p["body"]) + length(p["tail"])))
+        learned = F.filter(F.arrays_zip(ps.alias("p"), at.alias("at")), lambda z: z["p"]["role"] == LEARNED)
+        return F.struct(
+            F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
+            F.transform(learned, lambda z: F.struct((z["at"] + length(z["p"]["head"])).alias("start"), length(z["p"]["body"]).alias("length"))).alias("loss_spans"),
         )
-        end = (start + F.char_length(p["body"]) + 8).cast("long").alias("at")
-        return F.struct(end, F.when(p["role"] == LEARNED, inner["spans"]).otherwise(acc["spans"]).alias("spans"))
 
-    return parts.select("conv_id", formatted.alias("formatted"), F.aggregate("parts", zero, span)["spans"].alias("loss_spans"))
+    made = convs.select("conv_id", bound(F.col("ts"), lambda ts: bound(pieces(ts), output)).alias("o"))
+    return made.select("conv_id", "o.formatted", "o.loss_spans")
+
+
+def length(c: Column) -> Column:
+    return F.char_length(c).cast("long")
+
+
+def pieces(ts: Column) -> Column:
+    """What each turn adds to the output: the head of a run of turns with its role, the escaped text, the mark after it.
+
+    Runs end where a neighbour's role differs, so adjacent turns of one role merge without copying what came before.
+    """
+
+    def piece(x: Column, i: Column) -> Column:
+        same = lambda k: F.get(ts, k)["role"].eqNullSafe(x["role"])
+        head = F.concat(F.lit("<turn>"), F.replace(escape(x["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+        return F.struct(
+            x["role"].alias("role"), F.when(same(i - 1), F.lit("")).otherwise(head).alias("head"),
+            escape(x["text"]).alias("body"), F.when(same(i + 1), F.lit("<next>")).otherwise(F.lit("</turn>\n")).alias("tail"),
+        )
+
+    return F.transform(ts, piece)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value worked out once: an expression inside a lambda would be worked out for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(values: Column) -> Column:
+    """Sums of all values before each: array aggregations over chunks of about the root of their number, so that
+    neither a long array is copied for each value nor all before it added up."""
+    zero = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
+
+    def sums(v: Column) -> Column:
+        k = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / k).cast("int")), lambda c: F.slice(v, c * k + 1, k))
+
+        def inner(cs: Column, totals: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                before = total(F.slice(totals, F.lit(1), i))
+                return bound(before, lambda b: F.transform(c, lambda _, j: b + total(F.slice(c, F.lit(1), j))))
+
+            return F.flatten(F.transform(cs, one))
+
+        return bound(chunks, lambda cs: bound(F.transform(cs, total), lambda totals: inner(cs, totals)))
+
+    return bound(values, sums)
 
 
 def parse(formatted: Column) -> Column:
@@ -98,6 +120,20 @@ def parse(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+#: Code points of the segments that a formatted text is cut into: a span is looked up in its own segments only.
+SEGMENT = 2048
+
+
 def masked(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    segments = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+
+    def cut(found: Column) -> Column:
+        def text(s: Column) -> Column:
+            first, last = F.floor(s["start"] / SEGMENT), F.floor((s["start"] + s["length"]) / SEGMENT)
+            near = F.array_join(F.slice(found, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return unescape(F.substring(near, (s["start"] - first * SEGMENT + 1).cast("int"), s["length"].cast("int")))
+
+        return F.array_join(F.transform(spans, text), "")
+
+    return bound(segments, cut)
