@@ -63,17 +63,18 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", track
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", tracked: int = TRACKED) -> DataFrame:
     """docs with one row of each group of equal texts, all columns unchanged.
 
-    Rows that repeat the winner's doc_id are reduced to one, whichever comes first.
+    Rows that repeat the winner's doc_id are reduced to one, whichever comes first. Nulls and ties as in
+    ``exact_groups``; further columns of any name pass through; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
     groups = scratch.keep(exact_groups(docs, text, key, tracked))
-    (own,) = fresh(docs, "own_digest")
-    kept = groups.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"), F.max("text_sha256").alias("d"))
+    kept = groups.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = scratch.keep(kept)
-    lost = scratch.keep(groups.where("NOT kept").select(F.col("doc_id").alias(key)))
-    if not kept.where("n > 1").limit(1).count() and not lost.join(kept, lost[key].eqNullSafe(kept[key]), "left_semi").limit(1).count():
-        return select_ids(docs, lost, "left_anti", key)  # doc_id is unique: the usual case, texts are not shuffled
+    lost = scratch.keep(groups.where("NOT kept").select("doc_id"))
+    if not kept.where("n > 1").limit(1).count() and not lost.join(kept, lost["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").limit(1).count():
+        return select_ids(docs, lost.withColumnRenamed("doc_id", key), "left_anti", key)  # ids are unique, as usual: texts are not shuffled
+    own, keep, sha = fresh(docs, "own_digest", "keep", "sha")
     whole = docs.withColumn(own, F.sha2(F.encode(F.regexp_replace(F.coalesce(quoted(text), F.lit("")), WHITE, ""), "UTF-8"), 256))
-    keeps = groups.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    whole = whole.join(keeps, quoted(key).eqNullSafe(F.col("_keep")) & (F.col(own) == F.col("_sha")), "left_semi")
+    keeps = groups.where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha)).distinct()
+    whole = whole.join(keeps, quoted(key).eqNullSafe(quoted(keep)) & (quoted(own) == quoted(sha)), "left_semi")
     return whole.dropDuplicates([key, own]).drop(own)

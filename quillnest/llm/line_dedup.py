@@ -281,10 +281,10 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     ``repeated_lines`` for nulls, repeated rows and short lines. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    (name,) = fresh(docs, "dropped_lines")
+    name, drop = fresh(docs, "dropped_lines", "drop_from")
     lines = scratch.keep(repeated_lines(docs, text, key, percent, least))
     few = lines.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    drops = lines.groupBy(F.col("doc_id").alias("_drop")).agg(F.sort_array(F.collect_list("line")).alias(name))
+    drops = lines.groupBy(F.col("doc_id").alias(drop)).agg(F.sort_array(F.collect_list("line")).alias(name))
 
     def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
         out = []
@@ -297,7 +297,7 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
         return pd.Series(out)
 
     cut.__annotations__ = {"texts": pd.Series, "dropped": pd.Series, "return": pd.Series}
-    out = docs.join(F.broadcast(drops) if few else drops, quoted(key) == F.col("_drop"), "left").drop("_drop")
+    out = docs.join(F.broadcast(drops) if few else drops, quoted(key) == F.col(drop), "left").drop(drop)
     # Only texts that lose lines go to Python.
     cutting = F.pandas_udf(cut, T.StringType())(F.when(F.col(name).isNotNull(), quoted(text)), F.col(name))
     return out.withColumn(text, F.when(F.col(name).isNull(), quoted(text)).otherwise(cutting))

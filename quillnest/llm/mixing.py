@@ -57,7 +57,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], text: st
     want = hash_share(want, most, "_id")  # so about this many rows are broadcast and gathered
     rows = docs.select(quoted(key).alias("_id"), quoted(text).alias("_text")).join(F.broadcast(want), "_id")
     rows = rows.select("_id", "domain", F.pandas_udf(hashed, T.BinaryType())("_text").alias("x"))
-    rows = sorted(rows.collect(), key=lambda r: (r._id, r.x))
+    rows = rows.groupBy("_id", "domain").agg(F.min("x").alias("x"))  # of rows that repeat an id one is enough
+    rows = sorted(rows.collect(), key=lambda r: r._id)
     k = len(names)
     w, bias = np.zeros((1 << BITS, k), np.float32), np.zeros(k)
     if rows:

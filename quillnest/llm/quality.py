@@ -136,7 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     scratch = Scratch(spark)
     y = labels.where("quality IS NOT NULL").groupBy(quoted(key).alias("id")).agg(F.max("quality").cast("double").alias("y"))
     features = scratch.keep(_features(docs, text, key, meta).join(y, "id", "left"))
-    known = sorted(hash_share(features.where("y IS NOT NULL"), labelled).collect(), key=lambda r: r.id)
+    # Of rows that repeat an id one is enough.
+    some = hash_share(features.where("y IS NOT NULL"), labelled)
+    once = some.groupBy("id", "y").agg(F.min(F.struct("content", "metadata")).alias("v")).select("id", "y", "v.*")
+    known = sorted(once.collect(), key=lambda r: r.id)
     target = np.array([r.y for r in known])
     held = np.arange(len(known)) % 4 == 0
     if min((target[held] > 0.5).sum(), (target[held] <= 0.5).sum(), (target[~held] > 0.5).sum(), (target[~held] <= 0.5).sum(), key=int) < 1:
