@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,7 @@ class Automaton:
                     self.owners[k] += mine
         if self.length:
             self.a.make_automaton()
+            self.runs = re.compile(f"[^{OTHER}]{{{min(self.length)},}}")
 
     def _next(self) -> str:
         n = len(self.symbol) + 1
@@ -86,10 +88,13 @@ class Automaton:
         ws = _words(text)
         hit, items = np.zeros(len(ws) + 1, np.int64), set()
         if ws and self.length:
-            for end, k in self.a.iter("".join([self.symbol.get(w, OTHER) for w in ws])):
-                hit[end + 1 - self.length[k]] += 1
-                hit[end + 1] -= 1
-                items.update(self.owners[k])
+            line = "".join(map(self.symbol.get, ws, repeat(OTHER)))
+            for known in self.runs.finditer(line):  # no window fits into what is between
+                for end, k in self.a.iter(known[0]):
+                    end += known.start() + 1
+                    hit[end - self.length[k]] += 1
+                    hit[end] -= 1
+                    items.update(self.owners[k])
         return len(ws), np.cumsum(hit)[:-1] > 0, items
 
 
