@@ -326,8 +326,8 @@ def schema_string(spark, sf_dir):
 
 @query()
 def read_plan(spark, sf_dir):
-    pf = open_parquet(spark, _nested_orders(spark, sf_dir))
-    return spark.createDataFrame([(s,) for s in pf.plan_strings(["cust.c_name", "items.l_quantity"])], "plan string")
+    plan = open_parquet(spark, _nested_orders(spark, sf_dir)).read_plan(["cust.c_name", "items.l_quantity"])
+    return plan.withColumn("item_definitions", F.array_join(F.col("item_definitions").cast("array<string>"), ","))
 
 
 def _codec_query(codec: str) -> None:

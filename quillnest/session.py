@@ -35,7 +35,7 @@ def scratch_path(spark: SparkSession) -> str:
 
 def nullable(df: DataFrame) -> DataFrame:
     """The same rows with every field, element and map value nullable, so that they are written OPTIONAL."""
-    from .plans.keys import loosened
+    from .plans.types import loosened
 
     return df.sparkSession.createDataFrame([], loosened(df.schema)).unionByName(df)
 

@@ -7,6 +7,7 @@ Brotli, fixed-size lists, unsigned and nanosecond types; one file for each task,
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,25 +48,19 @@ class ArrowParquet(DataSource):
         return "quillnest_arrow"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(schema, self.options["files"].split("\n"), self.options["columns"].split("\n"))
+        files, groups = self.options["files"].split("\n"), map(int, self.options["groups"].split())
+        return _Reader(schema, [Group(f, k) for f, n in zip(files, groups, strict=True) for k in range(n)], self.options["columns"].split("\n"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(schema, dict(self.options), overwrite)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, schema: T.StructType, files: list[str], columns: list[str]):
-        self.schema, self.files, self.columns = schema, files, columns
+    def __init__(self, schema: T.StructType, groups: list[Group], columns: list[str]):
+        self.schema, self.groups, self.columns = schema, groups, columns
 
     def partitions(self) -> list[Group]:
-        import pyarrow.parquet as pq
-
-        out = []
-        for file in self.files:
-            fs, path = _fs(_uri(file))
-            with fs.open_input_file(path) as f:
-                out += [Group(file, k) for k in range(pq.ParquetFile(f).num_row_groups)]
-        return out
+        return self.groups
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -108,8 +103,8 @@ def fitted(a: pa.Array, t: pa.DataType) -> pa.Array:
 
 
 def _validity(a: pa.Array) -> pa.Buffer | None:
-    bits = pa.array([v for v in a.is_valid().to_pylist()], pa.bool_())
-    return bits.buffers()[1]
+    bits = a.is_valid()
+    return (pa.concat_arrays([bits]) if bits.offset else bits).buffers()[1]
 
 
 #: Arrow types of stored annotations that Spark's types do not show.
@@ -186,7 +181,7 @@ class _Writer(DataSourceArrowWriter):
         encodings = json.loads(o.get("encodings", "{}"))
         groups = int(o.get("rowgroup_size", 0)) or None
         plain = {k: v for k, v in encodings.items() if v != "RLE_DICTIONARY"}
-        fs, folder = _fs(_uri(o["path"]))
+        fs, folder = self._pending()
         fs.create_dir(folder, recursive=True)
         name = f"{folder}/part-{uuid.uuid4().hex}.parquet"
         limit, rows, load = groups or 1_000_000, 0, 0
@@ -217,28 +212,38 @@ class _Writer(DataSourceArrowWriter):
                         flush()
             if held or not rows and TaskContext.get().partitionId() == 0:  # a table without rows has one file
                 flush()
-        except BaseException:
-            if writer is not None:
-                fs.delete_file(name)
-            raise
         finally:
             if writer is not None:
                 writer.close()
         return Written(name if writer is not None else "", rows)
 
+    def _pending(self) -> tuple:
+        """File system and the job's own folder, which readers of the table pass over: of a task that was lost, or that ran
+        twice, nothing gets further than here."""
+        fs, folder = _fs(_uri(self.options["path"]))
+        return fs, f"{folder}/_temporary/{self.options['job']}"
+
     def commit(self, messages: list[Written | None]) -> None:
-        """Every file is whole when its task ends. An empty one goes if others have rows."""
-        if any(m and m.rows for m in messages):
-            fs, _ = _fs(_uri(self.options["path"]))
-            for m in messages:
-                if m and m.file and not m.rows:
-                    fs.delete_file(m.file)
+        """The files that finished tasks named move into the table. One without rows stays only if no other has any."""
+        fs, pending = self._pending()
+        done = [m for m in messages if m and m.file]
+        some = any(m.rows for m in done)
+        for m in done:
+            if m.rows or not some:
+                fs.move(m.file, m.file.replace(f"/_temporary/{self.options['job']}/", "/"))
+        self._clean(fs, pending)
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, _ = _fs(_uri(self.options["path"]))
-        for m in messages:
-            if m and m.file:
-                fs.delete_file(m.file)
+        self._clean(*self._pending())
+
+    def _clean(self, fs, pending: str) -> None:
+        from pyarrow.fs import FileSelector
+
+        fs.delete_dir_contents(pending, missing_dir_ok=True)
+        for folder in (pending, pending.rsplit("/", 1)[0]):
+            if not fs.get_file_info(FileSelector(folder, allow_not_found=True)):
+                with contextlib.suppress(FileNotFoundError):
+                    fs.delete_dir(folder)
 
 
 def write_ipc(df: DataFrame, folder: str, rows: int = 65_536) -> DataFrame:

@@ -36,6 +36,11 @@ def read_range(spark: SparkSession, path: str, start: int, length: int) -> bytes
         f.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.leaves import elements
 from . import footer as ft
 from .files import data_files, read_range
 
@@ -33,17 +34,12 @@ Read = Callable[[int, int], bytes]
 
 
 def _schema_rows(file: str, f: dict, _: Read) -> Iterator[tuple]:
-    open_groups: list[list] = []
-    for i, e in enumerate(f["schema"]):
-        while open_groups and open_groups[-1][1] == 0:
-            open_groups.pop()
-        path = ".".join([g[0] for g in open_groups[1:]] + [e["name"]]) if i else ""
-        if open_groups:
-            open_groups[-1][1] -= 1
-        n = e.get("num_children")
-        yield (file, i, e["name"], path, e.get("type"), e.get("type_length"), e.get("repetition_type"), n, e.get("converted_type"), ft.logical_name(e), e.get("scale"), e.get("precision"), e.get("field_id"))
-        if n:
-            open_groups.append([e["name"], n])
+    for i, x in enumerate(elements(f)):
+        e = x.raw
+        yield (
+            file, i, x.name, ".".join(y.name for y in x.chain), e.get("type"), e.get("type_length"), e.get("repetition_type"), e.get("num_children"),
+            e.get("converted_type"), ft.logical_name(e), e.get("scale"), e.get("precision"), e.get("field_id"),
+        )
 
 
 def _group_rows(file: str, f: dict, _: Read) -> Iterator[tuple]:
@@ -78,7 +74,7 @@ def _page_rows(file: str, f: dict, read: Read) -> Iterator[tuple]:
             start = ft.chunk_start(m)
             if start is None:
                 continue
-            for i, h in enumerate(ft.page_headers(read(start, m["total_compressed_size"]), start, m["num_values"])):
+            for i, h in enumerate(ft.page_headers(read, start, m["total_compressed_size"], m["num_values"])):
                 d = h.get("v1") or h.get("v2") or h.get("dictionary") or {}
                 yield (
                     file, k, j, ".".join(m["path"]), i, h["type"], d.get("encoding"), d.get("num_values"), d.get("num_nulls"), d.get("num_rows"),

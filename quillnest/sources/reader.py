@@ -7,22 +7,18 @@ the first file's footer gives the schema.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans import tree
-from ..plans.keys import one_sided, prune
-from ..plans.tree import Node
+from ..plans import leaves
+from ..plans.leaves import Leaf
+from . import metadata
 from .files import data_files, read_range
 from .footer import footer_of
 
-#: Files whose footers are read to choose between Spark's reader and the Arrow source; more are taken to be alike.
-FOOTERS = 64
-
 
 class ColumnReadError(RuntimeError):
     """A column cannot be decoded. Read the others with ``columns=``."""
@@ -50,37 +46,41 @@ class ParquetFile:
         return self.footer_at(0)
 
     @cached_property
-    def plan(self) -> tuple[Node, ...]:
-        return tree.read_plan(self.footer, tree.arrow_schema(self.footer))
+    def plan(self) -> tuple[Leaf, ...]:
+        return leaves.leaf_table(self.footer, leaves.arrow_schema(self.footer))
 
-    def footers(self, most: int | None = None) -> list[dict]:
-        return [self.footer] + [self.footer_at(k) for k in range(1, len(self.files) if most is None else min(most, len(self.files)))]
+    @cached_property
+    def facts(self) -> list[tuple[str, int, int]]:
+        """(file, rows, row groups) of every file; the footers of many files are read by executors."""
+        rows = metadata.file_facts(self.spark, self.path).select("file", "num_rows", "num_row_groups").collect()
+        return sorted(map(tuple, rows))
 
     @property
     def num_rows(self) -> int:
-        return sum(f["num_rows"] for f in self.footers())
+        return sum(n for _, n, _ in self.facts)
 
     @property
     def num_row_groups(self) -> int:
-        return sum(len(f.get("row_groups") or ()) for f in self.footers())
+        return sum(n for *_, n in self.facts)
 
     @property
     def schema(self) -> T.StructType:
-        return tree.spark_schema(self.plan)
+        return leaves.spark_schema(self.plan)
 
     @property
     def column_names(self) -> list[str]:
-        return [n.name for n in self.plan]
+        return list(dict.fromkeys(x.column for x in self.plan))
 
     @property
     def metadata(self) -> dict:
         return self.footer
 
     def schema_string(self) -> str:
-        return tree.schema_string(self.footer)
+        return leaves.message(self.footer)
 
-    def plan_strings(self, columns: list[str] | None = None) -> list[str]:
-        return [tree.read_plan_string(n) for n in (self.plan if columns is None else prune(self.plan, columns))]
+    def read_plan(self, columns: list[str] | None = None) -> DataFrame:
+        """The leaves that a read of the columns decodes, with their levels."""
+        return self.spark.createDataFrame(leaves.plan_rows(leaves.selected(self.plan, columns)), leaves.PLAN)
 
     def close(self) -> None:
         """Nothing stays open."""
@@ -107,26 +107,18 @@ def read_parquet(
     that is not as long as its declared fixed size is an error when it is read.
     """
     pf = source if isinstance(source, ParquetFile) else open_parquet(spark or SparkSession.active(), source)
-    nodes = pf.plan if columns is None else prune(pf.plan, columns)
-    whole = {k.key: k for n in pf.plan for k in _maps(n)}
-    physical = T.StructType([T.StructField(n.name, _scan_type(n, whole, stored)) for n in nodes])
-    if needs_arrow(pf, nodes):
-        df = pf.spark.read.format(arrow_source(pf.spark)).schema(physical).options(path=pf.path, files=_joined(pf), columns=_joined_keys(nodes)).load()
+    rows = leaves.selected(pf.plan, columns)
+    scanned = leaves.with_whole_maps(rows, pf.plan)
+    kind = lambda x: _scan_type(x, stored)
+    physical = T.StructType([T.StructField(s.name, leaves.folded(own, 1, kind)) for s, own in leaves.parts(scanned, 0)])
+    if needs_arrow(pf, scanned):
+        groups = {file: n for file, _, n in pf.facts}
+        options = {"files": "\n".join(groups), "groups": " ".join(map(str, groups.values())), "columns": "\n".join(dict.fromkeys(".".join(x.path) for x in scanned))}
+        df = pf.spark.read.format(arrow_source(pf.spark)).schema(physical).options(path=pf.path, **options).load()
     else:
         df = pf.spark.read.schema(physical).parquet(pf.path)
-    out = []
-    for n in nodes:
-        c = F.col(f"`{n.name}`")
-        out.append(_shape(c, n, stored, check_sizes).alias(n.name, metadata=tree.field_metadata(n)))
-    return df.select(*out)
-
-
-def _joined(pf: ParquetFile) -> str:
-    return "\n".join(f for f, _ in pf.files)
-
-
-def _joined_keys(nodes: tuple[Node, ...]) -> str:
-    return "\n".join(dict.fromkeys(".".join(x.leaf.path) for n in nodes for x in tree.leaves(n)))
+    shape = _Shape(stored, check_sizes)
+    return df.select(*(shape.of(F.col(f"`{s.name}`"), own, 1).alias(s.name, metadata=leaves.field_metadata(own)) for s, own in leaves.parts(rows, 0)))
 
 
 def arrow_source(spark: SparkSession) -> str:
@@ -136,84 +128,71 @@ def arrow_source(spark: SparkSession) -> str:
     return ArrowParquet.name()
 
 
-def needs_arrow(pf: ParquetFile, nodes: tuple[Node, ...]) -> bool:
-    """Whether a selected chunk is one that Spark cannot decode: Brotli, or byte stream split (vectorised reader)."""
-    own = {x.leaf.path for n in nodes for x in tree.leaves(n)}
-    for f in pf.footers(FOOTERS):
-        for g in f.get("row_groups") or ():
-            for c in g["columns"]:
-                m = c["meta"]
-                if tuple(m["path"]) in own and (m["codec"] == "BROTLI" or "BYTE_STREAM_SPLIT" in m["encodings"]):
-                    return True
-    return False
-
-
-def _maps(n: Node) -> list[Node]:
-    return ([n] if n.kind == "map" else []) + [x for c in n.children for x in _maps(c)]
-
+def needs_arrow(pf: ParquetFile, rows: tuple[Leaf, ...]) -> bool:
+    """Whether a chunk of these leaves, in any file, is one that Spark may not decode: Brotli, byte stream split
+    (vectorised reader), or the deprecated LZ4 codec, which has two framings."""
+    c = metadata.column_chunks(pf.spark, pf.path)
+    hard = F.col("codec").isin("BROTLI", "LZ4") | F.col("encodings").contains("BYTE_STREAM_SPLIT")
+    return not c.where(hard & F.col("path").isin([".".join(x.path) for x in rows])).isEmpty()
 
-def _thin(n: Node) -> Node:
-    """The node with its first leaf only."""
-    from dataclasses import replace
 
-    if n.kind == "map":
-        pair = n.children[0]
-        return replace(n, children=(replace(pair, children=(pair.children[0], _thin(pair.children[1]))),))
-    return replace(n, children=(_thin(n.children[0]),)) if n.children else n
+def _scan_type(x: Leaf, stored: bool) -> T.DataType:
+    t = leaves.leaf_type(x.element)
+    return T.BinaryType() if stored and isinstance(t, T.DecimalType) and x.element.raw["type"] == "FIXED_LEN_BYTE_ARRAY" else t
 
 
-def _scan_type(n: Node, whole: dict[str, Node], stored: bool) -> T.DataType:
-    """What the scan reads: the selected parts, and for half a map the least of its other half."""
-    if n.kind == "leaf":
-        t = tree.leaf_type(n.leaf)
-        return T.BinaryType() if stored and isinstance(t, T.DecimalType) and n.leaf.raw["type"] == "FIXED_LEN_BYTE_ARRAY" else t
-    if n.kind == "list":
-        return T.ArrayType(_scan_type(n.children[0], whole, stored))
-    if n.kind == "map":
-        sides = {c.name: c for c in n.children[0].children}
-        full = {c.name: c for c in whole[n.key].children[0].children}
-        return T.MapType(*(_scan_type(sides.get(s) or _thin(full[s]), whole, stored) for s in ("key", "value")))
-    return T.StructType([T.StructField(c.name, _scan_type(c, whole, stored)) for c in n.children])
+class _Shape:
+    """From scanned values to results. A value in which nothing differs is left alone, so that the plan stays prunable."""
 
+    def __init__(self, stored: bool, check: bool):
+        self.stored, self.check = stored, check
 
-def _changes(n: Node, stored: bool, check: bool) -> bool:
-    if n.kind == "leaf":
-        return stored and isinstance(tree.leaf_type(n.leaf), T.DecimalType)
-    return one_sided(n) or check and bool(n.fixed_size) or any(_changes(c, stored, check) for c in n.children)
+    def unscaled(self, x: Leaf) -> bool:
+        return self.stored and isinstance(leaves.leaf_type(x.element), T.DecimalType) and x.element.raw["type"] in ("INT32", "INT64")
 
+    def differs(self, rows: tuple[Leaf, ...], depth: int) -> bool:
+        if any(self.unscaled(x) or self.check and x.fixed_size and len(x.steps) > depth for x in rows):
+            return True
+        return any(len(leaves.sides(own, d)) == 1 for d in range(depth, max(len(x.steps) for x in rows)) for own in _together(rows, d))
 
-def _shape(c: Column, n: Node, stored: bool, check: bool) -> Column:
-    """The scanned value in its result form; untouched wherever nothing differs, so that the plan stays prunable."""
-    if not _changes(n, stored, check):
-        return c
-    rest: Callable[[Column, Node], Column] = lambda x, k: _shape(x, k, stored, check)
-    if n.kind == "leaf":
-        if n.leaf.raw["type"] not in ("INT32", "INT64"):
+    def of(self, c: Column, rows: tuple[Leaf, ...], depth: int) -> Column:
+        if not self.differs(rows, depth):
             return c
-        t = tree.leaf_type(n.leaf)
-        return (c * F.lit(10**t.scale).cast(T.DecimalType(min(38, t.scale + 1), 0))).cast("int" if n.leaf.raw["type"] == "INT32" else "long")
-    if n.kind == "list":
-        out = F.transform(c, lambda x: rest(x, n.children[0])) if _changes(n.children[0], stored, check) else c
-        if check and n.fixed_size:
-            says = f"a list declared fixed_size_list[{n.fixed_size}] in ARROW:schema has another size (column {n.key})"
-            out = F.when(c.isNull() | (F.size(c) == n.fixed_size), out).otherwise(F.raise_error(says))
-        return out
-    if n.kind == "map":
-        sides = n.children[0].children
-        if len(sides) == 2:
-            return F.transform_values(c, lambda _, v: rest(v, sides[1]))
-        (s,) = sides
-        return F.transform(F.map_keys(c) if s.name == "key" else F.map_values(c), lambda x: F.struct(rest(x, s).alias(s.name)))
-    made = F.struct(*(rest(c.getField(k.name), k).alias(k.name) for k in n.children))
-    return F.when(c.isNotNull(), made)
+        if len(rows[0].steps) == depth:
+            t = leaves.leaf_type(rows[0].element)
+            whole = c * F.lit(10**t.scale).cast(T.DecimalType(min(38, t.scale + 1), 0))
+            return whole.cast("int" if rows[0].element.raw["type"] == "INT32" else "long")
+        below = leaves.parts(rows, depth)
+        step, own = below[0]
+        if step.kind == "item":
+            out = F.transform(c, lambda x: self.of(x, own, depth + 1)) if self.differs(own, depth + 1) else c
+            size = own[0].fixed_size if self.check and len(own[0].steps) == depth + 1 else None
+            if size:
+                says = f"column {own[0].key} has a list that is not as long as fixed_size_list[{size}] says"
+                out = F.when(c.isNull() | (F.size(c) == size), out).otherwise(F.raise_error(says))
+            return out
+        if step.kind == "member":
+            made = F.struct(*(self.of(c.getField(s.name), part, depth + 1).alias(s.name) for s, part in below))
+            return F.when(c.isNotNull(), made)
+        if len(below) == 2:
+            return F.transform_values(c, lambda _, v: self.of(v, below[1][1], depth + 1))
+        return F.transform(F.map_keys(c) if step.kind == "key" else F.map_values(c), lambda x: F.struct(self.of(x, own, depth + 1).alias(step.kind)))
+
+
+def _together(rows: tuple[Leaf, ...], depth: int) -> list[tuple[Leaf, ...]]:
+    """Rows with common steps above a depth that have one there."""
+    by: dict[tuple, list[Leaf]] = {}
+    for x in rows:
+        if len(x.steps) > depth:
+            by.setdefault(x.steps[:depth], []).append(x)
+    return [tuple(v) for v in by.values()]
 
 
 def check_columns(source: ParquetFile | str, columns: list[str] | None = None, spark: SparkSession | None = None) -> None:
     """Decode every selected leaf on its own; the first that fails is a ColumnReadError that names it."""
     pf = source if isinstance(source, ParquetFile) else open_parquet(spark or SparkSession.active(), source)
-    for n in pf.plan if columns is None else prune(pf.plan, columns):
-        for key in dict.fromkeys(x.key for x in tree.leaves(n)):
-            try:
-                read_parquet(pf, [key]).write.format("noop").mode("overwrite").save()
-            except Exception as e:
-                raise ColumnReadError(key, e) from e
+    for key in dict.fromkeys(x.key for x in leaves.selected(pf.plan, columns)):
+        try:
+            read_parquet(pf, [key]).write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            raise ColumnReadError(key, e) from e

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..plans.keys import resolve, type_leaves
+from ..plans.types import resolve, type_leaves
 from ..session import confs, nullable
-from .files import data_files, delete, rename
+from .files import data_files, delete, exists, rename
 from .reader import arrow_source
 
 #: Codec names and what Spark calls them; None: only the Arrow sink has it.
@@ -40,7 +40,7 @@ def leaf_encodings(schema: T.StructType, encoding: str | dict[str, str]) -> dict
     for name in names:
         if name not in ENCODINGS:
             raise ValueError(f"unknown encoding {name!r}; choose from {', '.join(ENCODINGS)}")
-    own = type_leaves(schema)
+    own = [(keys[-1], t) for keys, t in type_leaves(schema)]
     if isinstance(encoding, str):
         return {k: encoding if allows(encoding, t) else "plain" for k, t in own}
     found = resolve(schema, encoding)
@@ -78,7 +78,7 @@ def validate(df: DataFrame, compression: str, encoding: str | dict[str, str], ro
         raise ValueError("rowgroup_size must be 1 or more")
     if not df.columns:
         raise ValueError("a table without columns cannot be written")
-    for k, t in type_leaves(df.schema):
+    for (*_, k), t in type_leaves(df.schema):
         if isinstance(t, (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)):
             raise ValueError(f"column {k!r} of type {t.simpleString()} cannot be written")
     return leaf_encodings(df.schema, encoding)
@@ -96,10 +96,19 @@ def write_parquet(
     """Write df and return the path: a folder of files, or with single_file one file with the rows in order.
 
     All fields but map keys are OPTIONAL. Row groups of rowgroup_size rows start anew in each file. Wrong options are
-    errors before anything is written; a failed write leaves no file behind.
+    errors before anything is written. A failed write leaves no new file behind, and with single_file or the Arrow sink
+    what was at the path before (Spark's own writer empties a folder before it overwrites it).
     """
     encodings = validate(df, compression, encoding, rowgroup_size)
+    if mode not in ("overwrite", "append", "error", "errorifexists", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
     spark = df.sparkSession
+    if mode in ("error", "errorifexists", "ignore") and exists(spark, path):
+        if mode == "ignore":
+            return path
+        raise FileExistsError(path)
+    if single_file and mode == "append":
+        raise ValueError("a single file cannot be appended to")
     target = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}" if single_file else path  # beside it: renaming stays in one store
     rows = nullable(df)
     if single_file:
@@ -107,32 +116,29 @@ def write_parquet(
     paths = stored_paths(df.schema)
     try:
         if needs_sink(df, compression, encodings):
-            if mode == "overwrite":
-                delete(spark, target)
             schema = T.StructType([T.StructField(f.name, f.dataType, True, o.metadata) for f, o in zip(rows.schema, df.schema, strict=True)])
             options = {
                 "path": target if ":" in target else f"file:{target}", "compression": "none" if compression == "uncompressed" else compression,
                 "encodings": json.dumps({paths[k]: ENCODINGS[e] for k, e in encodings.items() if e != "plain"}), "rowgroup_size": str(rowgroup_size or 0),
-                "spark_schema": json.dumps(schema.jsonValue()),
+                "spark_schema": json.dumps(schema.jsonValue()), "job": uuid.uuid4().hex,
             }
+            old = data_files(spark, target) if mode == "overwrite" and exists(spark, target) else []
             rows.write.format(arrow_source(spark)).mode("append").options(**options).save()
+            for file, _ in old:  # only now that the new table is there
+                delete(spark, file)
         else:
             options = {"compression": CODECS[compression], "parquet.enable.dictionary": "false"}
             options |= {f"parquet.enable.dictionary#{paths[k]}": "true" for k, e in encodings.items() if e == "dictionary"}
             if rowgroup_size:
                 options["parquet.block.row.count.limit"] = str(rowgroup_size)
             with confs(spark, spark__sql__parquet__outputTimestampType="TIMESTAMP_MICROS"):
-                rows.write.mode(mode).options(**options).parquet(target)
+                rows.write.mode("append" if mode == "append" else "overwrite").options(**options).parquet(target)
         if single_file:
             files = data_files(spark, target)
             if len(files) != 1:
                 raise OSError(f"expected one file in {target}, found {len(files)}")
             delete(spark, path)
             rename(spark, files[0][0], path)
-    except BaseException:
-        if single_file:
-            delete(spark, path)
-        raise
     finally:
         if single_file:
             delete(spark, target)
