@@ -64,10 +64,11 @@ def map_has(m: Column, key: Column) -> Column:
 
 def map_last_wins(m: Column) -> Column:
     """The map with one entry for each key, the last stored one, in the order of those entries."""
-    e = F.map_entries(m)
-    keys = F.map_keys(m)
-    last = F.filter(e, lambda x, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == x["key"]))
-    return F.map_from_entries(last)
+    back = F.reverse(F.map_entries(m))
+    # array_distinct keeps first places, and array_position finds them; both hash or scan once for each distinct key.
+    keys = F.transform(back, lambda e: e["key"])
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(back, F.array_position(keys, k).cast("int")))
+    return F.map_from_entries(F.reverse(last))
 
 
 def show_map(m: Column) -> Column:
@@ -103,10 +104,10 @@ def fixed_from_flat(df: DataFrame, size: int, position: str, value: str, by: lis
 
 
 def fixed_from_vectors(c: Column, size: int) -> Column:
-    """Values of a column of ML vectors as a checked fixed-size list."""
+    """Values of a column of ML vectors as a checked fixed-size list; a null vector is a null list."""
     from pyspark.ml.functions import vector_to_array
 
-    return fixed(vector_to_array(c), size)
+    return fixed(F.when(c.isNotNull(), vector_to_array(c)), size)
 
 
 def declare_fixed(df: DataFrame, name: str, size: int) -> DataFrame:

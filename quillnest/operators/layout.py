@@ -44,11 +44,12 @@ def deltas(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFr
     wrapped = F.when(wrapped >= two63, wrapped - two64).when(wrapped < -two63, wrapped + two64).otherwise(wrapped).cast("long")
     rows = df.select(*by, wrapped.alias("delta"), (F.row_number().over(w) - 2).cast("long").alias("at"), F.first(value).over(w).alias("first"))
     rows = rows.where("at >= 0").withColumn("block", F.expr(f"at DIV {DELTA_BLOCK}")).withColumn("miniblock", F.expr(f"at % {DELTA_BLOCK} DIV {MINIBLOCK}"))
-    least = rows.groupBy(*by, "block").agg(F.min("delta").alias("min_delta"))
-    most = rows.groupBy(*by, "block", "miniblock", "first").agg(F.max("delta").alias("most"))
+    parts = rows.groupBy(*by, "block", "miniblock", "first").agg(F.max("delta").alias("most"), F.min("delta").alias("least"))
+    least = F.min("least").over(Window.partitionBy(*by, "block")).alias("min_delta")  # of four rows at most
+    parts = parts.select(*by, "block", "miniblock", "first", "most", least)
     spread = F.col("most").cast("decimal(20,0)") - F.col("min_delta").cast("decimal(20,0)")
     width = F.length(F.conv(spread.cast("string"), 10, 2))
-    return most.join(least, [*by, "block"]).select(*by, "block", "miniblock", "first", "min_delta", F.when(spread == 0, 0).otherwise(width).cast("long").alias("bit_width"))
+    return parts.select(*by, "block", "miniblock", "first", "min_delta", F.when(spread == 0, 0).otherwise(width).cast("long").alias("bit_width"))
 
 
 def dictionary(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
@@ -87,7 +88,8 @@ def byte_streams(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     kind = "<f4" if isinstance(df.schema[value].dataType, T.FloatType) else "<f8"
 
     def stored(v: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in v.to_numpy().astype(kind)])
+        data, wide = v.to_numpy().astype(kind).tobytes(), int(kind[2:])
+        return pd.Series([data[at : at + wide] for at in range(0, len(data), wide)])
 
     stored.__annotations__ = {"v": pd.Series, "return": pd.Series}
     bits = df.where(F.col(value).isNotNull()).select(*keys, F.pandas_udf(stored, T.BinaryType())(value).alias("b"))

@@ -146,6 +146,12 @@ def steps_of(chain: list[Element]) -> tuple[Step, ...]:
     return tuple(out)
 
 
+def keys_only(x: Leaf) -> bool:
+    """Whether a map without values leads to the leaf: it is a list of its keys."""
+    c = x.element.chain
+    return any(e.annotation.startswith("MAP") and e.width == 1 and group.repeated and group.width == 1 for e, group in zip(c, c[1:], strict=False))
+
+
 def leaf_table(footer: dict, arrow: pa.Schema | None = None) -> tuple[Leaf, ...]:
     """Leaves in stored order; an Arrow schema adds fixed sizes and the metadata of top-level fields."""
     out = []

@@ -121,13 +121,17 @@ def map_side_selection(spark, sf_dir):
 SELECT o_custkey, max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS last_open, count(*) AS entries, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) = 1 AS has_p
 FROM orders GROUP BY o_custkey""")
 def map_lookup_last_wins(spark, sf_dir):
+    df = _status_maps(spark, sf_dir)
+    m = F.col("m")
+    return df.select("o_custkey", access.map_get(m, F.lit("O")).alias("last_open"), access.map_size(m).cast("long").alias("entries"), access.map_has(m, F.lit("P")).alias("has_p"))
+
+
+def _status_maps(spark, sf_dir):
     """Maps with duplicate keys (status), which no constructor of Spark makes: stored as lists, read back as maps."""
     pairs = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
     lists = _read(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderstatus"]).groupBy("o_custkey").agg(pairs.alias("p"))
     as_map = lists.select("o_custkey", F.col("p.o_orderstatus").alias("k"), F.col("p.o_orderkey").alias("v"))
-    df = _duplicate_maps(as_map)
-    m = F.col("m")
-    return df.select("o_custkey", access.map_get(m, F.lit("O")).alias("last_open"), access.map_size(m).cast("long").alias("entries"), access.map_has(m, F.lit("P")).alias("has_p"))
+    return _duplicate_maps(as_map)
 
 
 def _duplicate_maps(df: DataFrame) -> DataFrame:
@@ -299,35 +303,152 @@ def num_rows(spark, sf_dir):
     return spark.createDataFrame([(pf.num_rows, open_parquet(spark, _path(sf_dir, "events")).num_rows, pf.num_row_groups)], "num_rows long, events long, num_row_groups long")
 
 
-@query("""SELECT CAST(ordinal AS BIGINT) AS ordinal, name, type, CAST(num_children AS BIGINT) AS num_children FROM (VALUES (0, 'schema', NULL, 3), (1, 'vec_id', 'INT64', NULL), (2, 'embedding', NULL, 1), (3, 'list', NULL, 1), (4, 'element', 'FLOAT', NULL), (5, 'label', 'INT32', NULL)) AS t(ordinal, name, type, num_children)""")
+#: Where the reading of footers is compared with another reader's: it takes a literal path.
+_FILES = "/root/testdata/sf0.01"
+
+
+@query(f"""
+SELECT row_number() OVER () - 1 AS ordinal, name, type, repetition_type AS repetition, num_children, converted_type FROM parquet_schema('{_FILES}/embeddings.parquet')""")
 def schema_elements(spark, sf_dir):
-    return metadata.schema_elements(spark, _path(sf_dir, "embeddings")).select("ordinal", "name", "type", "num_children")
+    return metadata.schema_elements(spark, _path(sf_dir, "embeddings")).select("ordinal", "name", "type", "repetition", "num_children", "converted_type")
 
 
-@query()
+@query(f"""
+SELECT row_group_id AS row_group, column_id AS "column", replace(path_in_schema, ', ', '.') AS path, type, compression AS codec, num_values, total_compressed_size AS compressed_size,
+total_uncompressed_size AS uncompressed_size, coalesce(dictionary_page_offset, data_page_offset) AS first_page_offset, stats_null_count AS null_count FROM parquet_metadata('{_FILES}/lineitem.parquet')""")
 def column_chunks(spark, sf_dir):
-    return metadata.column_chunks(spark, _path(sf_dir, "lineitem")).drop("file")
+    return metadata.column_chunks(spark, _path(sf_dir, "lineitem")).drop("file", "encodings", "min_value", "max_value")
 
 
-@query()
+@query(f"""
+SELECT row_group_id AS row_group, column_id AS "column", num_values, total_compressed_size AS bytes, total_uncompressed_size AS plain_bytes,
+CAST(list_sum(list_transform(encoding_stats, lambda x: x.count)) AS BIGINT) AS pages FROM parquet_metadata('{_FILES}/orders.parquet')""")
 def page_headers(spark, sf_dir):
-    return metadata.pages(spark, _path(sf_dir, "orders")).drop("file")
+    """Pages of a chunk, with their headers, fill it."""
+    p = metadata.pages(spark, _path(sf_dir, "orders"))
+    return p.groupBy("row_group", "column").agg(
+        F.sum(F.when(F.col("type") != "DICTIONARY_PAGE", F.col("num_values"))).alias("num_values"), F.sum(F.col("compressed_size") + F.col("header_size")).alias("bytes"),
+        F.sum(F.col("uncompressed_size") + F.col("header_size")).alias("plain_bytes"), F.count(F.lit(1)).alias("pages"),
+    )
 
 
-@query("SELECT key FROM (VALUES ('pandas'), ('ARROW:schema')) AS t(key)")
+@query(f"SELECT CAST(key AS VARCHAR) AS key, CAST(octet_length(value) AS BIGINT) AS bytes, sha256(value) AS sha256 FROM parquet_kv_metadata('{_FILES}/embeddings.parquet')")
 def key_values(spark, sf_dir):
-    return metadata.key_values(spark, _path(sf_dir, "embeddings")).select("key")
+    kv = metadata.key_values(spark, _path(sf_dir, "embeddings"))
+    return kv.select("key", F.octet_length("value").cast("long").alias("bytes"), F.sha2(F.encode("value", "UTF-8"), 256).alias("sha256"))
 
 
-@query()
+@query("""
+SELECT * FROM (VALUES (0, 'message schema {'), (1, '  optional int64 vec_id;'), (2, '  optional group embedding (LIST) {'), (3, '    repeated group list {'), (4, '      optional float element;'), (5, '    }'),
+(6, '  }'), (7, '  optional int32 label;'), (8, '}')) AS t(line, text)""")
 def schema_string(spark, sf_dir):
-    return spark.createDataFrame([(open_parquet(spark, _path(sf_dir, "embeddings")).schema_string(),)], "text string")
+    text = open_parquet(spark, _path(sf_dir, "embeddings")).schema_string()
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
 
 
-@query()
+@query("""
+SELECT key, type, CAST(repetition AS BIGINT) AS repetition, CAST(definition AS BIGINT) AS definition, items, path FROM (VALUES ('cust.c_name', 'string', 0, 2, '', 'cust.c_name'),
+('items.l_quantity', 'double', 1, 4, '2', 'items.list.element.l_quantity')) AS t(key, type, repetition, definition, items, path)""")
 def read_plan(spark, sf_dir):
     plan = open_parquet(spark, _nested_orders(spark, sf_dir)).read_plan(["cust.c_name", "items.l_quantity"])
-    return plan.withColumn("item_definitions", F.array_join(F.col("item_definitions").cast("array<string>"), ","))
+    items = F.array_join(F.col("item_definitions").cast("array<string>"), ",")
+    return plan.select("key", "type", "repetition", "definition", items.alias("items"), "path")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE false")
+def zero_rows(spark, sf_dir):
+    empty = _read(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderdate"]).where("false")
+    return read_parquet(_written(spark, empty, compression="brotli"), spark=spark)
+
+
+@query("SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def overlapping_keys(spark, sf_dir):
+    """A group's key covers its members; keys that overlap or come twice count once."""
+    df = read_parquet(_nested_orders(spark, sf_dir), ["cust.c_name", "cust", "o_custkey", "o_orderkey", "cust.c_name"], spark)
+    return df.select("o_orderkey", "o_custkey", "cust.c_custkey", "cust.c_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS done, CASE WHEN o_orderkey % 3 = 0 THEN 'null' WHEN o_totalprice > 100000 THEN 'dear' ELSE 'cheap' END AS price FROM orders")
+def roundtrip_boolean(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    made = df.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("done"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") > 100000).alias("dear"))
+    back = read_parquet(_written(spark, made), spark=spark)
+    return back.select("o_orderkey", "done", F.when(F.col("dear"), "dear").when(~F.col("dear"), "cheap").otherwise("null").alias("price"))
+
+
+@query("SELECT * FROM orders")
+def data_page_v2(spark, sf_dir):
+    """Pages of the second kind, with the delta encodings that come with them."""
+    path = scratch_path(spark)
+    how = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
+    _read(spark, sf_dir, "orders").write.options(**how).parquet(path)
+    _raise_if(metadata.pages(spark, path).where("type <> 'DATA_PAGE_V2'"), "not all pages are of version 2")
+    _raise_if(metadata.column_chunks(spark, path).where("path = 'o_orderstatus' AND NOT encodings LIKE '%DELTA_BYTE_ARRAY%'"), "no delta byte arrays")
+    return read_parquet(path, spark=spark)
+
+
+@query("SELECT * FROM customer")
+def lz4_deprecated(spark, sf_dir):
+    path = scratch_path(spark)
+    _read(spark, sf_dir, "customer").write.option("compression", "lz4").parquet(path)
+    _raise_if(metadata.column_chunks(spark, path).where("codec <> 'LZ4'"), "not all chunks are LZ4")
+    return read_parquet(path, spark=spark)
+
+
+@query("SELECT o_orderkey, CAST(CAST(CAST(o_orderkey AS DECIMAL(30, 0)) * 100000000000 + 7 AS DECIMAL(30, 2)) AS VARCHAR) AS d FROM orders")
+def roundtrip_fixed_length(spark, sf_dir):
+    d = (F.col("o_orderkey").cast("decimal(19,0)") * F.lit(100000000000).cast("decimal(12,0)") + 7).cast("decimal(30,2)")
+    path = _written(spark, _read(spark, sf_dir, "orders", ["o_orderkey"]).select("o_orderkey", d.alias("d")))
+    _raise_if(metadata.column_chunks(spark, path).where("path = 'd' AND type <> 'FIXED_LEN_BYTE_ARRAY'"), "not stored at fixed length")
+    return read_parquet(path, spark=spark).select("o_orderkey", F.col("d").cast("string").alias("d"))
+
+
+@query("SELECT vec_id, CAST(count(*) AS BIGINT) AS records FROM embeddings GROUP BY vec_id")
+def record_starts(spark, sf_dir):
+    lv = levels.shred(_null_embeddings(spark, sf_dir), "e", ["vec_id"])
+    return levels.record_starts(lv).groupBy("vec_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
+def fsl_vectors(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+
+    df = _read(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).select("vec_id", array_to_vector("embedding").alias("v"))
+    lists = df.select("vec_id", access.fixed_from_vectors(F.col("v"), 64).alias("v"))
+    return lists.select("vec_id", access.element(F.col("v"), 1).alias("first"), access.element(F.col("v"), 64).alias("last"))
+
+
+@query("SELECT o_custkey, o_orderstatus AS key, max(o_orderkey) AS value FROM orders GROUP BY ALL")
+def map_last_wins(spark, sf_dir):
+    df = _status_maps(spark, sf_dir)
+    return df.select("o_custkey", F.explode(access.map_last_wins(F.col("m"))).alias("key", "value"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS last_open FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def map_at_present(spark, sf_dir):
+    """A missing key is an error, so only maps that have it are asked."""
+    df = _status_maps(spark, sf_dir).where(access.map_has(F.col("m"), F.lit("O")))
+    return df.select("o_custkey", access.map_at(F.col("m"), F.lit("O")).alias("last_open"))
+
+
+@query("SELECT * FROM orders")
+def roundtrip_table_encoding(spark, sf_dir):
+    """One encoding for a whole table: plain where a column's type does not allow it."""
+    path = _written(spark, _read(spark, sf_dir, "orders"), encoding="delta_binary_packed")
+    delta = metadata.column_chunks(spark, path).select("path", (F.col("encodings").contains("DELTA_BINARY_PACKED")).alias("delta"))
+    whole = F.col("path").isin("o_orderkey", "o_custkey", "o_orderdate")
+    _raise_if(delta.where(F.col("delta") != whole), "not the columns that allow it")
+    return read_parquet(path, spark=spark)
+
+
+@query("SELECT 'o_comment' AS path, count(*) FILTER (o_orderkey % 4 = 0) AS null_count, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders")
+def written_statistics(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
+    path = _written(spark, df.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("o_comment")))
+    c = metadata.column_chunks(spark, path)
+    number = lambda name: F.conv(F.hex(F.reverse(name)), 16, 10).cast("long")  # noqa: E731  little-endian, not negative here
+    nulls = c.where("path = 'o_comment'").agg(F.lit("o_comment").alias("path"), F.sum("null_count").alias("null_count"))
+    return nulls.crossJoin(c.where("path = 'o_orderkey'").agg(F.min(number("min_value")).alias("least"), F.max(number("max_value")).alias("most")))  # of one row each
 
 
 def _codec_query(codec: str) -> None:

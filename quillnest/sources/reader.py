@@ -130,7 +130,9 @@ def arrow_source(spark: SparkSession) -> str:
 
 def needs_arrow(pf: ParquetFile, rows: tuple[Leaf, ...]) -> bool:
     """Whether a chunk of these leaves, in any file, is one that Spark may not decode: Brotli, byte stream split
-    (vectorised reader), or the deprecated LZ4 codec, which has two framings."""
+    (vectorised reader), the deprecated LZ4 codec, which has two framings, or a map that stores keys only."""
+    if any(leaves.keys_only(x) for x in rows):
+        return True
     c = metadata.column_chunks(pf.spark, pf.path)
     hard = F.col("codec").isin("BROTLI", "LZ4") | F.col("encodings").contains("BYTE_STREAM_SPLIT")
     return not c.where(hard & F.col("path").isin([".".join(x.path) for x in rows])).isEmpty()
