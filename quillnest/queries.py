@@ -12,6 +12,7 @@ from .operators import layout, levels, nullability
 from .session import scratch_path
 from .sources import metadata
 from .sources.arrow_io import read_ipc, write_ipc
+from .sources.files import exists
 from .sources.reader import open_parquet, read_parquet
 from .sources.writer import CODECS, write_parquet
 
@@ -45,20 +46,43 @@ def _written(spark: SparkSession, df: DataFrame, **how) -> str:
     return write_parquet(df, scratch_path(spark), **how)
 
 
-def _nested_orders(spark: SparkSession, sf_dir: str) -> str:
+#: Paths of nested tables that queries read, by application, source and name: they are written once.
+_FIXTURES: dict[tuple[str, str, str], str] = {}
+
+
+def _fixture(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], str]:
+    def path(spark: SparkSession, sf_dir: str) -> str:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _FIXTURES or not exists(spark, _FIXTURES[key]):
+            _FIXTURES[key] = _written(spark, build(spark, sf_dir))
+        return _FIXTURES[key]
+
+    return path
+
+
+@_fixture
+def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_nested: cust struct and items list, written as Parquet; orders without items have a null list."""
     items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "l_shipdate", "l_returnflag"))).alias("items"))
     cust = _read(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select("c_custkey", F.struct("c_custkey", "c_name").alias("cust"))
     orders = _read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     full = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return _written(spark, full.select("o_orderkey", "o_custkey", "cust", "items"))
+    return full.select("o_orderkey", "o_custkey", "cust", "items")
 
 
-def _quantity_maps(spark: SparkSession, sf_dir: str) -> str:
+@_fixture
+def _quantity_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_map: position in the order to quantity."""
     items = _read(spark, sf_dir, "lineitem", ITEM).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM))).alias("i"))
     entries = F.transform("i", lambda x, k: F.struct((k + 1).cast("long").alias("key"), x["l_quantity"].alias("value")))
-    return _written(spark, items.select("l_orderkey", F.map_from_entries(entries).alias("qty")))
+    return items.select("l_orderkey", F.map_from_entries(entries).alias("qty"))
+
+
+@_fixture
+def _customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their items, gathered by customer."""
+    orders = read_parquet(_nested_orders(spark, sf_dir), ["o_custkey", "o_orderkey", "items"], spark)
+    return orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "items"))).alias("orders"))
 
 
 def _raise_if(df: DataFrame, says: str) -> None:
@@ -97,9 +121,7 @@ WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER B
 o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord FROM orders)
 SELECT o_custkey AS c_custkey, ord, item, l_quantity FROM o JOIN i ON o_orderkey = l_orderkey""")
 def list_of_list_member(spark, sf_dir):
-    orders = read_parquet(_nested_orders(spark, sf_dir), ["o_custkey", "o_orderkey", "items"], spark)
-    path = _written(spark, orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "items"))).alias("orders")))
-    df = read_parquet(path, ["o_custkey", "orders.items.l_quantity"], spark)
+    df = read_parquet(_customer_orders(spark, sf_dir), ["o_custkey", "orders.items.l_quantity"], spark)
     one = df.select(F.col("o_custkey").alias("c_custkey"), F.posexplode(access.member(df, "orders.items.l_quantity")).alias("ord", "q"))
     out = one.select("c_custkey", F.col("ord").cast("long").alias("ord"), F.posexplode("q").alias("item", "l_quantity"))
     return out.withColumn("item", F.col("item").cast("long"))

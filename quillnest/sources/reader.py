@@ -20,6 +20,10 @@ from .files import data_files, read_range
 from .footer import footer_of
 
 
+#: What sends a chunk to the Arrow source.
+HARD_CODECS, HARD_ENCODING = ("BROTLI", "LZ4"), "BYTE_STREAM_SPLIT"
+
+
 class ColumnReadError(RuntimeError):
     """A column cannot be decoded. Read the others with ``columns=``."""
 
@@ -45,6 +49,13 @@ class ParquetFile:
     def footer(self) -> dict:
         return self.footer_at(0)
 
+    @cached_property
+    def few(self) -> list[dict] | None:
+        """The footers of all files, where there are few."""
+        if len(self.files) > metadata.DRIVER_FILES:
+            return None
+        return [self.footer, *(self.footer_at(k) for k in range(1, len(self.files)))]
+
     @cached_property
     def plan(self) -> tuple[Leaf, ...]:
         return leaves.leaf_table(self.footer, leaves.arrow_schema(self.footer))
@@ -52,6 +63,8 @@ class ParquetFile:
     @cached_property
     def facts(self) -> list[tuple[str, int, int]]:
         """(file, rows, row groups) of every file; the footers of many files are read by executors."""
+        if self.few is not None:
+            return [(file, f["num_rows"], len(f.get("row_groups") or ())) for (file, _), f in zip(self.files, self.few, strict=True)]
         rows = metadata.file_facts(self.spark, self.path).select("file", "num_rows", "num_row_groups").collect()
         return sorted(map(tuple, rows))
 
@@ -133,9 +146,13 @@ def needs_arrow(pf: ParquetFile, rows: tuple[Leaf, ...]) -> bool:
     (vectorised reader), the deprecated LZ4 codec, which has two framings, or a map that stores keys only."""
     if any(leaves.keys_only(x) for x in rows):
         return True
+    own = {".".join(x.path) for x in rows}
+    if pf.few is not None:
+        chunks = (c["meta"] for f in pf.few for g in f.get("row_groups") or () for c in g["columns"])
+        return any(".".join(m["path"]) in own and (m["codec"] in HARD_CODECS or HARD_ENCODING in m["encodings"]) for m in chunks)
     c = metadata.column_chunks(pf.spark, pf.path)
-    hard = F.col("codec").isin("BROTLI", "LZ4") | F.col("encodings").contains("BYTE_STREAM_SPLIT")
-    return not c.where(hard & F.col("path").isin([".".join(x.path) for x in rows])).isEmpty()
+    hard = F.col("codec").isin(*HARD_CODECS) | F.col("encodings").contains(HARD_ENCODING)
+    return not c.where(hard & F.col("path").isin(list(own))).isEmpty()
 
 
 def _scan_type(x: Leaf, stored: bool) -> T.DataType:
