@@ -7,7 +7,7 @@ window until the document ends, so its log-likelihood is that of the whole text.
 
 Training is distributed: all documents that are not held out (or one in ``one_in`` where a caller asks for it) are dealt to
 shards, each runs truncated backpropagation from the common weights, and the weights are averaged by tokens, round
-by round. Counts, vocabulary and scores cover all documents. Words that are not among the KNOWN most frequent ones are
+by round. Each shard learns from whole documents, once a round. Counts, vocabulary and scores cover all documents. Words that are not among the KNOWN most frequent ones are
 looked up by a join, so no table that grows with the vocabulary is sent anywhere.
 """
 
@@ -16,27 +16,34 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, quoted, words
+from .common import Scratch, quoted, tidy, words
 
 #: Words that the network predicts; words whose counts travel with the tasks (at most so many).
 PREDICTED = 2000
 KNOWN = 131_072
-HIDDEN = 24
+HIDDEN = 16
 TRAIN_ONE_IN = 1
-ROUNDS = 2
+ROUNDS = 1
 #: Steps of truncated backpropagation, and of a scoring window; lanes of each.
 STEPS, WINDOW = 16, 48
-TRAIN_LANES, LANES = 32, 320
+TRAIN_LANES, LANES = 256, 320
+#: Tokens after which training starts a long text's state anew; scoring never does.
+CUT = 512
 RATE = 0.08
+#: Bound of a gradient's entries; what keeps a step finite where all gradients so far are none.
+CLIP, TINY = 50.0, 1e-12
 #: Tokens that are scored together.
 LOAD = 3_000_000
-SHARD_TOKENS = 500_000
+#: Tokens that a shard learns from, about; shards at least, so that small corpora use several executors; tokens that are
+#: dealt to the lanes together in training.
+SHARD_TOKENS, LEAST_SHARDS, TRAIN_LOAD = 2_000_000, 6, 400_000
 SMOOTH = 0.1
 END = b""  # no word is empty
 PIECE = 4096
@@ -115,12 +122,9 @@ def shaped(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 class Lanes:
-    """Sequences dealt to lanes, the longest lane first; time runs down."""
+    """Sequences dealt to lanes, the longest lane first; a lane's sequences follow each other in flat arrays, so memory
+    grows with the tokens and not with the longest lane. Time runs down the lanes, a window at a time."""
 
     def __init__(self, seqs: list[np.ndarray], lanes: int, start: int):
         heap = [(0, k) for k in range(max(1, min(lanes, len(seqs))))]
@@ -131,58 +135,72 @@ class Lanes:
             heapq.heappush(heap, (n + len(seqs[i]), k))
         own.sort(key=lambda o: -sum(len(seqs[i]) for i in o))
         self.lengths = np.array([sum(len(seqs[i]) for i in o) for o in own])
-        t = int(self.lengths.max()) if len(own) else 0
-        self.target = np.zeros((t, len(own)), np.int32)
-        self.given = np.zeros((t, len(own)), np.int32)
-        self.owner = np.zeros((t, len(own)), np.int32)
-        self.first = np.zeros((t, len(own)), bool)
-        for k, o in enumerate(own):
-            at = 0
-            for i in o:
-                n = len(seqs[i])
-                self.target[at : at + n, k] = seqs[i]
-                self.given[at, k] = start
-                self.given[at + 1 : at + n, k] = seqs[i][:-1]
-                self.owner[at : at + n, k] = i
-                self.first[at, k] = True
-                at += n
-
-    def windows(self, steps: int) -> Iterator[tuple[int, np.ndarray]]:
-        """First step, and the number of lanes that run in each step of the window."""
-        for t in range(0, len(self.target), steps):
-            yield t, np.searchsorted(-self.lengths, -np.arange(t, min(t + steps, len(self.target))), "left")
-
-
-def run_window(w: dict, lanes: Lanes, t: int, active: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States of the window's tokens, step by step; the lanes' states are updated in place."""
-    out = []
-    for s, n in enumerate(active):
-        prev = state[:n]
-        prev[lanes.first[t + s, :n]] = 0
-        a = prev @ w["h"]
-        x = w["x"][lanes.given[t + s, :n]]
-        z = _sigmoid(x[:, :HIDDEN] + a[:, :HIDDEN])
-        r = _sigmoid(x[:, HIDDEN : 2 * HIDDEN] + a[:, HIDDEN : 2 * HIDDEN])
-        c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        h = c + z * (prev - c)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        order = [i for o in own for i in o]
+        sizes = np.array([len(seqs[i]) for i in order], np.int64)
+        self.target = np.concatenate([seqs[i] for i in order]) if order else np.zeros(0, np.int32)
+        self.owner = np.repeat(np.array(order, np.int32), sizes)
+        self.first = np.zeros(len(self.target), bool)
+        heads = (np.cumsum(sizes) - sizes)[sizes > 0]
+        self.first[heads] = True
+        self.given = np.empty_like(self.target)
+        self.given[1:] = self.target[:-1]
+        self.given[heads] = start
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Lanes that run in each step of the window, and the positions of its tokens, step by step."""
+        longest = int(self.lengths[0]) if len(self.lengths) else 0
+        for t in range(0, longest, steps):
+            active = np.searchsorted(-self.lengths, -np.arange(t, min(t + steps, longest)), "left")
+            yield active, np.concatenate([self.starts[:n] + (t + s) for s, n in enumerate(active)])
+
+
+def run_window(w: dict, lanes: Lanes, at: np.ndarray, active: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States of the window's tokens, a column each, step by step; the lanes' states are updated in place.
+
+    Arrays have a row for each unit, so that gates are whole rows. keep: gets what the way back needs.
+    """
+    x, first, ht = np.ascontiguousarray(w["x"][lanes.given[at]].T), lanes.first[at], np.ascontiguousarray(w["h"].T)
+    out = np.empty((HIDDEN, len(at)), state.dtype)
+    if keep is not None:
+        keep.update(prev=np.empty_like(out), gates=np.empty((2 * HIDDEN, len(at)), state.dtype), c=np.empty_like(out), an=np.empty_like(out), first=first)
+    a = 0
+    for n in active:
+        b = a + n
+        prev = state[:, :n]
+        if first[a:b].any():
+            prev[:, first[a:b]] = 0
+        u = ht @ prev
+        g = x[: 2 * HIDDEN, a:b] + u[: 2 * HIDDEN]
+        g *= 0.5  # the logistic function by tanh
+        np.tanh(g, out=g)
+        g += 1
+        g *= 0.5
+        c = g[HIDDEN:] * u[2 * HIDDEN :]
+        c += x[2 * HIDDEN :, a:b]
+        np.tanh(c, out=c)
+        h = out[:, a:b]
+        np.subtract(prev, c, out=h)
+        h *= g[:HIDDEN]
+        h += c
         if keep is not None:
-            keep.append((prev.copy(), z, r, c, a[:, 2 * HIDDEN :]))
-        state[:n] = h
-        out.append(h)
-    return np.concatenate(out)
+            keep["prev"][:, a:b], keep["gates"][:, a:b], keep["c"][:, a:b], keep["an"][:, a:b] = prev, g, c, u[2 * HIDDEN :]
+        state[:, :n] = h
+        a = b
+    return out
 
 
-def _softmax_pick(logits: np.ndarray, at: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(at)), at].copy()
+def _pick(logits: np.ndarray, at: np.ndarray, grad: bool) -> np.ndarray:
+    """Log-probability of one row in each column; with grad, logits become the gradient."""
+    logits -= logits.max(axis=0)
+    cols = np.arange(len(at))
+    own = logits[at, cols]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    logp = own - np.log(total)
-    if not grad:
-        return logp, None
-    logits /= total[:, None]
-    logits[np.arange(len(at)), at] -= 1
-    return logp, logits
+    total = logits.sum(axis=0)
+    if grad:
+        logits *= 1 / total
+        logits[at, cols] -= 1
+    return own - np.log(total)
 
 
 def softmax(w: dict, h: np.ndarray, target: np.ndarray, size: int, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -190,99 +208,117 @@ def softmax(w: dict, h: np.ndarray, target: np.ndarray, size: int, grads: dict |
     m = len(w["bw"])
     classes = len(w["bc"]) - 1
     cls = np.where(target >= m, classes, target // size)
-    logp, d = _softmax_pick(h @ w["uc"].T + w["bc"], cls, grads is not None)
-    dh = np.zeros((0, HIDDEN), np.float32)
-    if grads is not None:
-        grads["uc"], grads["bc"], dh = d.T @ h, d.sum(axis=0), d @ w["uc"]
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(classes + 1))
+    # Columns in the order of their classes, so that those of a class are side by side.
+    order = np.argsort(cls.astype(np.int16) if classes < 30_000 else cls, kind="stable")
+    cls, target, h = cls[order], target[order], h[:, order]
+    grad = grads is not None
+    d = w["uc"] @ h
+    d += w["bc"][:, None]
+    logp, dh = _pick(d, cls, grad), np.zeros((HIDDEN, 0), h.dtype)
+    if grad:
+        grads["uc"], grads["bc"], dh = d @ h.T, d.sum(axis=1), w["uc"].T @ d
+    cut = np.searchsorted(cls, np.arange(classes + 1))
     for c in range(classes):
-        own = order[cut[c] : cut[c + 1]]
-        if len(own):
+        i, j = cut[c], cut[c + 1]
+        if i < j:
             a, b = c * size, min((c + 1) * size, m)
-            hs = h[own]
-            lp, d = _softmax_pick(hs @ w["uw"][a:b].T + w["bw"][a:b], target[own] - a, grads is not None)
-            logp[own] += lp
-            if grads is not None:
-                grads["uw"][a:b], grads["bw"][a:b] = d.T @ hs, d.sum(axis=0)
-                dh[own] += d @ w["uw"][a:b]
-    return logp, dh
+            d = w["uw"][a:b] @ h[:, i:j]
+            d += w["bw"][a:b, None]
+            logp[i:j] += _pick(d, target[i:j] - a, grad)
+            if grad:
+                grads["uw"][a:b], grads["bw"][a:b] = d @ h[:, i:j].T, d.sum(axis=1)
+                dh[:, i:j] += w["uw"][a:b].T @ d
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return logp[back], dh[:, back] if grad else dh
 
 
 def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
-    """Truncated backpropagation over sequences, Adagrad in place; returns the summed log-probability."""
-    lanes = Lanes(seqs, TRAIN_LANES, len(w["bw"]) + 1)
-    state, total = np.zeros((lanes.target.shape[1], HIDDEN), w["h"].dtype), 0.0
-    for t, active in lanes.windows(STEPS):
-        keep: list = []
-        h = run_window(w, lanes, t, active, state, keep)
-        target = np.concatenate([lanes.target[t + s, :n] for s, n in enumerate(active)])
-        grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
-        logp, dh = softmax(w, h, target, size, grads)
+    """Truncated backpropagation over sequences, Adagrad in place; returns the summed log-probability.
+
+    All tokens are learned from. The state starts anew every CUT tokens, so that long texts fill the lanes, too.
+    """
+    lanes = Lanes([x[k : k + CUT] for x in seqs for k in range(0, len(x), CUT)], TRAIN_LANES, len(w["bw"]) + 1)
+    state, total = np.zeros((HIDDEN, len(lanes.lengths)), w["h"].dtype), 0.0
+    for active, at in lanes.windows(STEPS):
+        keep: dict = {}
+        h = run_window(w, lanes, at, active, state, keep)
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k not in ("x", "h")}
+        logp, dh = softmax(w, h, lanes.target[at], size, grads)
         total += float(logp.sum())
-        cut = np.cumsum([0, *active])
-        back, inputs = np.zeros((0, HIDDEN), np.float32), []
-        for s in reversed(range(len(active))):
-            n = active[s]
-            prev, z, r, c, an = keep[s]
-            d = dh[cut[s] : cut[s + 1]].copy()
-            d[: len(back)] += back
-            dz, dc = d * (prev - c) * z * (1 - z), d * (1 - z) * (1 - c * c)
-            dr, da = dc * an * r * (1 - r), dc * r
-            up = np.concatenate([dz, dr, da], axis=1)
-            grads["h"] += prev.T @ up
-            inputs.append(np.concatenate([dz, dr, dc], axis=1))
-            back = d * z + up @ w["h"].T
-            back[lanes.first[t + s, :n]] = 0
+        prev, c, an, z, r = keep["prev"], keep["c"], keep["an"], keep["gates"][:HIDDEN], keep["gates"][HIDDEN:]
+        # What does not depend on later steps, for the whole window at once.
+        fc = 1 - c * c
+        fc *= 1 - z
+        f = np.concatenate([(prev - c) * z * (1 - z), fc * an * r * (1 - r), fc * r])
+        up, back, b = np.empty_like(f), np.zeros((HIDDEN, 0), h.dtype), len(at)
+        for n in reversed(active):
+            a = b - n
+            d = dh[:, a:b]
+            d[:, : back.shape[1]] += back
+            u = up[:, a:b]
+            for k in range(3):
+                np.multiply(f[k * HIDDEN : (k + 1) * HIDDEN, a:b], d, out=u[k * HIDDEN : (k + 1) * HIDDEN])
+            back = w["h"] @ u
+            back += d * z[:, a:b]
+            if keep["first"][a:b].any():
+                back[:, keep["first"][a:b]] = 0
+            b = a
+        grads["h"] = prev @ up.T
         # Input rows: only those of the window's words are touched.
-        given = np.concatenate([lanes.given[t + s, :n] for s, n in reversed(list(enumerate(active)))])
+        up[2 * HIDDEN :] = dh * fc
+        given = lanes.given[at]
         order = np.argsort(given, kind="stable")
         rows, starts = np.unique(given[order], return_index=True)
-        g = np.clip(np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0), -5, 5)
+        g = np.clip(np.add.reduceat(np.ascontiguousarray(up.T)[order], starts, axis=0), -CLIP, CLIP)
         squares["x"][rows] += g * g
-        w["x"][rows] -= RATE * g / np.sqrt(squares["x"][rows])
+        w["x"][rows] -= RATE * g / np.sqrt(squares["x"][rows] + TINY)
         for k, g in grads.items():
-            np.clip(g, -5, 5, out=g)
+            np.clip(g, -CLIP, CLIP, out=g)
             squares[k] += g * g
-            w[k] -= RATE * g / np.sqrt(squares[k])
+            w[k] -= RATE * g / np.sqrt(squares[k] + TINY)
     return total
 
 
 def log_likelihoods(w: dict, seqs: list[np.ndarray], size: int) -> np.ndarray:
     """Log-probability (natural) of each whole sequence."""
     lanes = Lanes(seqs, LANES, len(w["bw"]) + 1)
-    state, out = np.zeros((lanes.target.shape[1], HIDDEN), w["h"].dtype), np.zeros(len(seqs))
-    for t, active in lanes.windows(WINDOW):
-        h = run_window(w, lanes, t, active, state)
-        target = np.concatenate([lanes.target[t + s, :n] for s, n in enumerate(active)])
-        owner = np.concatenate([lanes.owner[t + s, :n] for s, n in enumerate(active)])
-        out += np.bincount(owner, weights=softmax(w, h, target, size)[0], minlength=len(seqs))
+    state, out = np.zeros((HIDDEN, len(lanes.lengths)), w["h"].dtype), np.zeros(len(seqs))
+    for active, at in lanes.windows(WINDOW):
+        h = run_window(w, lanes, at, active, state)
+        out += np.bincount(lanes.owner[at], weights=softmax(w, h, lanes.target[at], size)[0], minlength=len(seqs))
     return out
 
 
 def _sequence(ws: list[bytes], number: dict[bytes, int], rest: int) -> np.ndarray:
-    out, get = np.empty(len(ws) + 1, np.int32), number.get
-    out[:-1] = [get(x, rest) for x in ws]
-    out[-1] = get(END, rest)
-    return out
+    return np.fromiter(map(number.get, [*ws, END], repeat(rest)), np.int32, len(ws) + 1)
 
 
 def fit_network(texts: DataFrame, top: list[tuple[bytes, int]], rest: float, tokens: float, rounds: int = ROUNDS) -> dict:
-    """Weights averaged over shards. texts: the documents to train on (column text, key id); tokens: about how many."""
+    """Weights averaged over shards. texts: the documents to train on (column text, key id); tokens: about how many.
+
+    Texts become word numbers where they are, and only those are dealt to the shards. A shard reads its documents in
+    the order of a hash, so a task that runs again gives the same weights.
+    """
     w = initial([c for _, c in top], rest)
     number = {x: i for i, (x, _) in enumerate(top)}
     size = layout([c for _, c in top])["size"]
-    shards = int(np.clip(tokens // SHARD_TOKENS, 6, 100_000))
+    shards = int(np.clip(tokens // SHARD_TOKENS, LEAST_SHARDS, 100_000))
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seqs = [_sequence(words(t), number, len(top)).astype(np.uint16 if len(top) < 65_000 else np.int32).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"shard": pdf["shard"], "place": pdf["place"], "seq": seqs})
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shaped(now, w)
         squares = {k: np.full_like(v, 0.1) for k, v in own.items()}
         seen, seqs, load, shard = 0, [], 0, 0
         for pdf in batches:
-            for t, shard in zip(pdf["text"], pdf["shard"], strict=True):  # noqa: B007
-                seqs.append(_sequence(words(t), number, len(top)))
+            for x, shard in zip(pdf["seq"], pdf["shard"], strict=True):  # noqa: B007
+                seqs.append(np.frombuffer(x, np.uint16 if len(top) < 65_000 else np.int32).astype(np.int32))
                 load += len(seqs[-1])
-                if load > 100_000:
+                if load > TRAIN_LOAD:
                     train(own, squares, seqs, size)
                     seen, seqs, load = seen + load, [], 0
         if seqs:
@@ -298,10 +334,11 @@ def fit_network(texts: DataFrame, top: list[tuple[bytes, int]], rest: float, tok
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "salt": [0], "v": [v.tobytes()], "n": [pdf["n"].sum()]})
 
     kind = "piece int, salt int, v binary, n double"
-    dealt = texts.select("text", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).repartition(shards, "shard")
+    dealt = texts.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("id", "text").alias("place"), "text")
+    dealt = dealt.mapInPandas(tidy(numbered), "shard int, place long, seq binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
     for _ in range(rounds):
         now = flat(w)
-        parts = dealt.mapInPandas(local, kind).groupBy("piece", "salt").applyInPandas(add, kind).groupBy("piece").applyInPandas(add, kind)
+        parts = dealt.mapInPandas(tidy(local), kind).groupBy("piece", "salt").applyInPandas(add, kind).groupBy("piece").applyInPandas(add, kind)
         rows = sorted(parts.collect(), key=lambda r: r.piece)  # as large as the network
         if rows:
             w = shaped(np.concatenate([np.frombuffer(r.v, np.float64) / r.n for r in rows]), w)
@@ -327,12 +364,14 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in
     rest = z - sum(c + SMOOTH for _, c in top)
     sample = learn.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text").where(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(one_in)) == 0)
     w = fit_network(sample, top, rest, n / one_in, rounds) if top else None
-    table = {x: (i, c) for i, (x, c) in enumerate(known)}
     size, m = layout([c for _, c in top])["size"], len(top)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {x: i for x, (i, _) in table.items() if i < m}
-        worth = {x: (np.log10((c + SMOOTH) / z), i < m, np.log10(c + SMOOTH) - np.log10(rest)) for x, (i, c) in table.items()}
+        number = {x: i for i, (x, _) in enumerate(known)}
+        c = np.array([k for _, k in known], np.float64)
+        # By word number; the last entry is for words that are looked up later.
+        worth = np.append(np.log10((c + SMOOTH) / z), 0.0)
+        inner = np.append(np.where(np.arange(len(c)) < m, 0.0, np.log10(c + SMOOTH) - np.log10(rest)), 0.0)
         columns = ["doc_id", "held_out", "n_tokens", "found", "base", "model", "rare", "times"]
 
         def scored(rows: list, seqs: list) -> Iterator[pd.DataFrame]:
@@ -344,22 +383,12 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in
         rows, seqs, load = [], [], 0
         for pdf in batches:
             for doc_id, held, t in zip(pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
-                ws = words(t)
-                seqs.append(_sequence(ws, number, m))
-                load += len(seqs[-1])
-                base = inner = 0.0
-                found, rare, times = 0, [], []
-                for x, k in Counter([*ws, END]).items():
-                    got = worth.get(x)
-                    if got is None:
-                        rare.append(x)
-                        times.append(k)
-                    else:
-                        found += k
-                        base += k * got[0]
-                        if not got[1]:
-                            inner += k * got[2]
-                rows.append((doc_id, held, len(ws) + 1, found, base, inner, rare, times))
+                ws = [*words(t), END]
+                ids = np.fromiter(map(number.get, ws, repeat(-1)), np.int32, len(ws))
+                seqs.append(np.where((ids < 0) | (ids >= m), m, ids).astype(np.int32))
+                load += len(ids)
+                rare = Counter([ws[i] for i in np.flatnonzero(ids < 0).tolist()])
+                rows.append((doc_id, held, len(ws), int((ids >= 0).sum()), float(worth[ids].sum()), float(inner[ids].sum()), list(rare), list(rare.values())))
             if load > LOAD:  # so many tokens fill the lanes
                 yield from scored(rows, seqs)
                 rows, seqs, load = [], [], 0
@@ -368,7 +397,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", one_in
     kind = docs.schema[key].dataType.simpleString()
     ids = own.withColumn("doc_id", F.col("doc_id").cast("string"))  # a null would make floats of whole numbers
     schema = "doc_id string, held_out boolean, n_tokens long, found long, base double, model double, rare array<binary>, times array<long>"
-    scored = ids.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id())
+    scored = ids.mapInPandas(tidy(run), schema).withColumn("row", F.monotonically_increasing_id())
     scored = scratch.keep(scored)
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("k"))).alias("r")).select("row", "r.word", "r.k")
     found = rare.join(counts, "word", "left").groupBy("row").agg(
