@@ -112,6 +112,17 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return run
 
 
+def tidied(f: Callable) -> Callable:
+    """f of one group, and memory released after it."""
+
+    def run(pdf):
+        out = f(pdf)
+        release()
+        return out
+
+    return run
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, in UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

@@ -1,9 +1,9 @@
-"""Fuzzy line deduplication: prefixes of word pairs, edit similarity, connected groups.
+"""Fuzzy line deduplication: prefixes of neighbouring words, edit similarity, connected groups.
 
 Lines are split at line feeds and normalised: A-Z lower-cased, digits as 0 (but in lines of one to three words), ASCII
 signs and white space as one space, each character of a script without spaces as a word.
 Equal normalised lines are one class (rows of 16 bytes, pre-aggregated). Two lines within the edit similarity keep most
-of their pairs of neighbouring words, so they share one of the few rarest pairs of each (see ``reach``): these are the
+of their grams of three neighbouring words, so they share one of the few rarest grams of each (see ``reach``): these are the
 signatures, and no line within the similarity is missed. Candidates are ruled out by word parities and verified by word
 edit distance, see ``linkage`` for hot signatures, and of each connected group the occurrence
 that comes first by (doc_id, line number) stays.
@@ -20,77 +20,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, BROADCAST_IDS, Scratch, WordHashes, fresh, hash_share, mix64, quoted, select_ids, tidy
+from .common import BROADCAST_IDS, LOWER, Scratch, fresh, hash_share, mix64, quoted, select_ids, tidied, tidy
 from .linkage import linked_components
 
 BITS = 128
 #: Edit similarity of two lines: 1 - edits / words of the longer one, in percent.
 PERCENT = 90
-#: Under it, short lines can be similar without a common word pair.
+#: Under it, short lines can be similar without two neighbouring words in common.
 LEAST_PERCENT = 70
 #: Default of ``least``, and fewer words than so many keep their digits: they have little else to tell them apart.
 LEAST_WORDS = 4
-#: Lines that get their signatures together.
-CHUNK = 2000
+#: Characters of texts whose lines are hashed together; signatures and lines that a batch sends together.
+PIECE, BATCH = 1_000_000, 1_000_000
+#: Lines of a batch from which a signature is shared for certain.
+HOT = 64
 #: Documents in which words are counted, and words that are known as frequent: for the order of signatures only.
 SAMPLED, FREQUENT = 5000, 50_000
 _SIGNS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 or b == 10 else 32 for b in LOWER)
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
 #: Scripts without spaces between words (Thai to Khmer, kana, bopomofo, Han): each character is a word.
 UNSEGMENTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 
 
-def normalised_lines(text: str | None) -> list[list[bytes]]:
-    """The words of each line."""
+def _folded(text: str | None) -> bytes:
+    """The text with only words, spaces and line feeds left; digits as they are."""
     text = text or ""
     if not text.isascii() and UNSEGMENTED.search(text):
         text = UNSEGMENTED.sub(r" \g<0> ", text)
-    data = text.encode("utf-8", "surrogatepass").translate(_SIGNS)
+    return text.encode("utf-8", "surrogatepass").translate(_SIGNS)
+
+
+def normalised_lines(text: str | None) -> list[list[bytes]]:
+    """The words of each line."""
+    data = _folded(text)
     folded = [x.split() for x in data.translate(_DIGITS).split(b"\n")]
     return [x.split() if len(ws) < LEAST_WORDS else ws for x, ws in zip(data.split(b"\n"), folded, strict=True)]
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edit distance of two sequences, or most + 1 where it is larger: rows of a band of the usual table."""
-    n = min(len(a), len(b))
+def hashed_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each text; and of all lines together, as ``normalised_lines`` has them: words of each line, and two
+    independent 64-bit hashes of every word (sums over its bytes and their places)."""
+    parts = [_folded(t) for t in texts]
+    lines = np.array([x.count(b"\n") + 1 for x in parts], np.int64)
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    inside = data > 32
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    feed = np.flatnonzero(data == 10)
+    of = np.searchsorted(feed, start)  # the line of each word
+    n = np.bincount(of, minlength=int(lines.sum()))
+    at, size = np.flatnonzero(inside), stop - start
+    first = np.cumsum(size) - size
+    byte = data[at].astype(np.uint64)
+    fold = np.repeat(n[of] >= LEAST_WORDS, size) & (byte >= 48) & (byte <= 57)
+    byte[fold] = 48
+    byte |= (np.arange(len(at)) - np.repeat(first, size)).astype(np.uint64) << np.uint64(8)
+    out = []
+    for seed in _SEEDS:
+        h = np.add.reduceat(mix64(byte ^ seed), first) if len(first) else np.zeros(0, np.uint64)
+        out.append(mix64(h + size.astype(np.uint64)))
+    return lines, n, out[0], out[1]
+
+
+def edits(a: list, b: list, most: int) -> int:
+    """Word edit distance of two sequences, or most + 1 where it is larger.
+
+    Bit-parallel: a whole column of the usual table is two integers, of its upward and its downward steps.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    differ = np.flatnonzero(a[:n] != b[:n])
-    at = int(differ[0]) if len(differ) else n
-    a, b = a[at:], b[at:]
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
-    end = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    if not len(a) or not len(b):
-        return min(max(len(a), len(b)), most + 1)
-    width = 2 * most + 1
-    # Column k of row i is position i + k - most of b.
-    padded = np.concatenate([np.full(most + 1, -1, np.int64), np.unique(np.concatenate([a, b]), return_inverse=True)[1][len(a) :], np.full(most + len(a) + 2, -1, np.int64)])
-    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1][: len(a)]
-    k = np.arange(width)
-    far = most + 1
-    row = np.where((k >= most) & (k - most <= len(b)), k - most, far)
-    for i in range(1, len(a) + 1):
-        j = i + k - most
-        put = row + (padded[i : i + width] != codes[i - 1])  # b[j - 1] lies at padded[j - 1 + most + 1]
-        drop = np.append(row[1:], far) + 1
-        new = np.where(j == 0, i, np.where((j > 0) & (j <= len(b)), np.minimum(put, drop), far))
-        row = np.minimum(np.minimum.accumulate(new - k) + k, far)
-        row[(j < 0) | (j > len(b))] = far
-        if row.min() > most:
-            return far
-    at = len(b) - len(a) + most
-    return int(row[at])
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    m, left = len(a), len(b)
+    if not m:
+        return min(left, most + 1)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << m - 1
+    up, down, score = full, 0, m
+    for y in b:
+        left -= 1
+        eq = at.get(y, 0)
+        diagonal = ((eq & up) + up ^ up) | eq | down
+        plus, minus = down | full & ~(diagonal | up), up & diagonal
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score - left > most:  # every further column takes off one at most
+            return most + 1
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(eq | down | plus)) & full, plus & (eq | down) & full
+    return min(score, most + 1)
 
 
 def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     x, y = a.split(" "), b.split(" ")
-    code: dict[str, int] = {}
-    u = np.array([code.setdefault(w, len(code)) for w in x])
-    v = np.array([code.setdefault(w, len(code)) for w in y])
     most = (100 - percent) * max(len(x), len(y)) // 100
-    return edits(u, v, most) <= most
+    return edits(x, y, most) <= most
 
 
 def apart(n, others, percent: int = PERCENT):
@@ -103,18 +136,25 @@ def apart(n, others, percent: int = PERCENT):
     return np.where(d <= e, 2 * e - d, -1)
 
 
+def gram(percent: int) -> int:
+    """Neighbouring words of a signature: three, or two where lines can be similar without three in common."""
+    return 3 if percent >= 85 else 2
+
+
 def reach(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """How many of its word pairs, in any common order, a line of n words needs as signatures; 0 without similar lines.
+    """How many of its grams, in any common order, a line of n words needs as signatures; 0 without similar lines.
 
-    An insertion breaks one pair of the shorter line, another edit two. So if e edits lead to a line longer by d, at
-    most 2 e - d pairs of the shorter one and 2 e of the longer one are not shared, and one more is enough.
+    Of grams of q words, an insertion breaks q - 1 of the shorter line, another edit q. So if e edits lead to a line longer
+    by d, at most q e - d grams of the shorter one and q e of the longer one are not shared, and one more is enough.
     """
+    q = gram(percent)
     sizes, back = np.unique(n, return_inverse=True)
     out = np.zeros(len(sizes), np.int64)
     for i, x in enumerate(sizes.tolist()):
-        # Each ten-odd words more allow an edit more, which breaks two pairs at most: the first jumps decide.
-        d = np.arange(min(x, 2 * 100 // max(1, 100 - percent) + 2) + 1)
-        out[i] = apart(x, x + d, percent).max()
+        # Each ten-odd words more allow an edit more, which breaks q grams at most: the first jumps decide.
+        d = np.arange(min(x, q * 100 // max(1, 100 - percent) + 2) + 1)
+        e = (100 - percent) * (x + d) // 100
+        out[i] = np.where((d <= e) & (e > 0), q * e - d, -1).max()
     return np.where(out > 0, out + 1, 0)[back]
 
 
@@ -122,89 +162,154 @@ def frequencies(docs: DataFrame, sampled: int = SAMPLED, frequent: int = FREQUEN
     """Hashes, ascending, of frequent words and their counts in a share of the documents (column text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        c: Counter = Counter()
         for pdf in batches:
-            for t in pdf["text"]:
-                for ws in normalised_lines(t):
-                    c.update(ws)
-        h = WordHashes().of(list(c)).view(np.int64)
-        yield pd.DataFrame({"h": h, "c": np.fromiter(c.values(), np.int64, len(c))})
+            for texts in _pieces(pdf["text"]):
+                h, c = np.unique(hashed_lines(texts)[2], return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "c": c})
 
-    counts = hash_share(docs, sampled, "doc_id").select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = hash_share(docs, sampled, "doc_id").select("text").mapInPandas(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rows = counts.where("c > 1").orderBy(F.desc("c"), "h").limit(frequent).collect()
     h, c = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def signatures(lines: list[list[bytes]], hashes: WordHashes, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[list[bytes], list[np.ndarray]]:
-    """Word parities, BITS bits, and signatures of lines of one or more words."""
-    n = np.array([len(x) for x in lines])
-    h = hashes.of([w for x in lines for w in x])
+def _pieces(texts) -> Iterator[list]:
+    """Texts in lists of about PIECE characters."""
+    own, load = [], 0
+    for t in texts:
+        own.append(t)
+        load += len(t or "")
+        if load > PIECE:
+            yield own
+            own, load = [], 0
+    if own:
+        yield own
+
+
+def signatures(n: np.ndarray, h: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word parities, BITS bits, of lines of n words with hashes h; and the lines' signatures, with the line of each."""
     line = np.repeat(np.arange(len(n)), n)
     odd = np.bincount(line * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(n) * BITS) & 1
     sketch = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
+    want, q = reach(n, percent), gram(percent)
+    last = max(0, len(h) - q + 1)
+    first = np.flatnonzero((line[:last] == line[q - 1 :][:last]) & (want[line[:last]] > 0))
     often = np.zeros(len(h), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
         often = np.where(common[0][at] == h, common[1][at], 0)
-    want = reach(n, percent)
-    first = np.flatnonzero((line[:-1] == line[1:]) & (want[line[:-1]] > 0))
-    pair, own = mix64(mix64(h[first]) + h[first + 1]), line[first]
-    order = np.lexsort((pair, np.minimum(often[first], often[first + 1]), own))
-    pair, own = pair[order], own[order]
+    words, seldom, own = h[first], often[first], line[first]
+    for k in range(1, q):
+        words, seldom = mix64(words) + h[first + k], np.minimum(seldom, often[first + k])
+    words = mix64(words)
+    order = np.lexsort((words, seldom, own))
+    words, own = words[order], own[order]
     place = np.arange(len(own))
-    # The same pair again in a line is another signature: pairs are counted with their repeats.
+    # The same gram again in a line is another signature: grams are counted with their repeats.
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (pair[1:] != pair[:-1])
+    new[1:] = (own[1:] != own[:-1]) | (words[1:] != words[:-1])
     again = place - np.maximum.accumulate(np.where(new, place, 0))
-    sig = np.where(again > 0, mix64(pair + again.astype(np.uint64)), pair)
+    sig = np.where(again > 0, mix64(words + again.astype(np.uint64)), words)
     start = np.searchsorted(own, np.arange(len(n)))
-    end = np.searchsorted(own, np.arange(len(n)), "right")
-    stop = np.minimum(start + want, end)
-    return [x.tobytes() for x in sketch], [sig[a:b].view(np.int64) for a, b in zip(start, stop, strict=True)]
+    keep = place - start[own] < want[own]
+    return sketch, sig[keep], own[keep]
 
 
-ROW = "doc_id long, line long, h1 long, h2 long, n long, sketch binary, sigs array<long>"
+#: Rows of ``_facts``: of lines, and of signatures that lines of two classes have.
+FACTS = "doc_id long, line long, h1 long, h2 long, n long, sketch binary, sig long, id long"
 
 
-def _lines(docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """A row for each eligible line: where it is, the hash of its normalised form, its words, parities and signatures.
+def _facts(docs: DataFrame, least: int, percent: int, buckets: int) -> DataFrame:
+    """A row for each eligible line (where it is, the hashes of its normalised form, its words and parities), and one for
+    each signature (sig, id) that another class has, too. The parities are left out for a line that a batch had before.
 
-    The last two are left out for a line that a batch has had before: those of any row of the class will do.
+    Signatures meet in buckets of the hash space, as plain arrays: most have no partner and end there. A
+    signature that very many lines of one batch have is shared for certain and does not go through a bucket, so a
+    bucket's load is bounded by the number of batches, however many lines have it.
     """
     common = frequencies(docs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        hashes = WordHashes()
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=object).astype(np.uint64)
+
+    def send(lines: list[np.ndarray], sketches: list[np.ndarray], news: list[np.ndarray], sigs: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
+        rows, place = np.concatenate(lines, axis=1), np.concatenate(news)
+        sig, own = np.concatenate(sigs), np.concatenate(ids)
+        order = np.argsort(sig)
+        sig, own = sig[order], own[order]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        hot = np.repeat(np.diff(np.append(first, len(sig))) > HOT, np.diff(np.append(first, len(sig))))
+        at = int(rows[0, 0] % buckets) if rows.shape[1] else 0
+        out = [(at, 1, rows.tobytes(), np.concatenate(sketches).tobytes(), place.tobytes()), (at, 2, sig[hot].tobytes(), own[hot].tobytes(), b"")]
+        # Of a hot one a few lines go through its bucket, where those of other batches find that it is shared.
+        thin = ~hot
+        thin[first] = True
+        sig, own = sig[thin], own[thin]
+        cut = np.concatenate(([0], np.searchsorted(sig, edges), [len(sig)]))
+        out += [(k, 0, sig[a:b].tobytes(), own[a:b].tobytes(), b"") for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple = ([], [], [], [], [])
+        load, seen = 0, np.zeros(0, np.uint64)
         for pdf in batches:
-            seen: set[bytes] = set()
-            ids, at, digest, n, new, lines = [], [], [], [], [], []
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for k, ws in enumerate(normalised_lines(t)):
-                    if len(ws) >= least:
-                        h = xxhash.xxh3_128_digest(b" ".join(ws))
-                        ids.append(doc_id)
-                        at.append(k)
-                        digest.append(h)
-                        n.append(len(ws))
-                        if h not in seen:
-                            seen.add(h)
-                            new.append(len(ids) - 1)
-                            lines.append(ws)
-            sketch: list = [None] * len(ids)
-            sigs: list = [None] * len(ids)
-            for a in range(0, len(new), CHUNK):
-                for i, s, g in zip(new[a : a + CHUNK], *signatures(lines[a : a + CHUNK], hashes, common, percent), strict=True):
-                    sketch[i], sigs[i] = s, g if len(g) else None
-            two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "line": np.array(at, np.int64), "h1": two[:, 0], "h2": two[:, 1], "n": np.array(n, np.int64), "sketch": sketch, "sigs": pd.Series(sigs, dtype=object)})
-
-    return docs.mapInPandas(tidy(run), ROW)
+            done = 0
+            for texts in _pieces(pdf["text"]):
+                docs = pdf["doc_id"].to_numpy()[done : done + len(texts)].astype(np.int64)
+                done += len(texts)
+                per, n, h, g = hashed_lines(texts)
+                at, good = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per), n >= least
+                whose = np.repeat(docs, per)[good]
+                word = np.repeat(good, n)
+                h, g, n, at = h[word], g[word], n[good], at[good]
+                first = np.cumsum(n) - n
+                step = (np.arange(len(h)) - np.repeat(first, n) + 1).astype(np.uint64) * _SEEDS[0]
+                h1, h2 = (np.add.reduceat(mix64(x + step), first) if len(n) else np.zeros(0, np.uint64) for x in (h, g))
+                _, one = np.unique(h1, return_index=True)
+                one = np.sort(one[~np.isin(h1[one], seen)])
+                seen = np.union1d(seen, h1[one])
+                mine = np.zeros(len(n), bool)
+                mine[one] = True
+                sketch, sig, line = signatures(n[one], h[np.repeat(mine, n)], common, percent)
+                held[0].append(np.stack([whose, at, h1.view(np.int64), h2.view(np.int64), n]))
+                held[1].append(sketch)
+                held[2].append(mine)
+                held[3].append(sig)
+                held[4].append(h1[one][line])
+                load += len(sig) + len(n)
+                if load > BATCH:
+                    yield send(*held)
+                    held, load, seen = ([], [], [], [], []), 0, np.zeros(0, np.uint64)
+        if held[0]:
+            yield send(*held)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, a, b, c in zip(pdf["kind"], pdf["a"], pdf["b"], pdf["c"], strict=True):
+            if kind == 1 and len(a):
+                rows, mine = np.frombuffer(a, np.int64).reshape(5, -1), np.frombuffer(c, bool)
+                sketch = np.full(len(mine), None, object)
+                sketch[mine] = [b[k : k + BITS // 8] for k in range(0, len(b), BITS // 8)]
+                out.append(pd.DataFrame(dict(zip(("doc_id", "line", "h1", "h2", "n"), rows, strict=True)) | {"sketch": sketch}))
+            elif kind == 2 and len(a):
+                out.append(pd.DataFrame({"sig": np.frombuffer(a, np.int64), "id": np.frombuffer(b, np.int64)}))
+        sent = pdf[pdf["kind"] == 0]
+        if len(sent):
+            sig, own = (np.frombuffer(b"".join(sent[c]), np.int64) for c in "ab")
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
+            new = np.ones(len(sig), bool)  # copies of a line send the same in several batches
+            new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+            sig, own = sig[new], own[new]
+            pair = np.zeros(len(sig), bool)
+            pair[1:] = sig[1:] == sig[:-1]
+            pair[:-1] |= pair[1:]
+            out.append(pd.DataFrame({"sig": sig[pair], "id": own[pair]}))
+        names = [f.split()[0] for f in FACTS.split(", ")]
+        done = [x.reindex(columns=names).astype({c: "Int64" for c in names if c != "sketch"}) for x in out if len(x)]
+        return pd.concat(done) if done else pd.DataFrame({c: [] for c in names})
+
+    sent = docs.mapInPandas(tidy(find), "bucket int, kind int, a binary, b binary, c binary")
+    return sent.groupBy("bucket").applyInPandas(tidied(meet), FACTS)
 
 
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -230,14 +335,15 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
         raise ValueError(f"percent must be {LEAST_PERCENT} or more, not {percent}")
     scratch = Scratch(docs.sparkSession)
     own = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.keep(_lines(own, least, percent))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * own.rdd.getNumPartitions())
+    facts = scratch.keep(_facts(own, least, percent, buckets))
+    rows = facts.where("doc_id IS NOT NULL")
     place = F.struct("doc_id", "line")
     classes = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = scratch.keep(classes)
     # An id of 64 bits: should two classes share one, their texts are both verified under it.
     items = classes.select(F.col("h1").alias("id"), F.col("n").alias("size"), "sketch")
-    # Dealt by signature once, for the search of pivots and the join with them.
-    index = rows.where("sigs IS NOT NULL").select(F.col("h1").alias("id"), F.explode("sigs").alias("sig")).repartition("sig")
+    index = facts.where("sig IS NOT NULL").select("sig", "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def same(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -256,9 +362,11 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     def limit(n, others):
         return apart(n, others, percent)
 
-    comp = linked_components(index, items, verify, limit, scratch, passes=(False,))
+    comp = linked_components(index, items, verify, limit, scratch)
     named = classes.join(comp.select(F.col("id").alias("h1"), "component"), "h1", "left")
-    heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
+    heads = scratch.keep(named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head")))
+    if heads.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        heads = F.broadcast(heads)  # so that the lines of a large group need not come together
     named = named.where("component IS NOT NULL OR first < last").join(heads, "component", "left")
     named = named.select("h1", "h2", F.coalesce("head", "first").alias("head"))
     return rows.join(named, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "line").distinct()

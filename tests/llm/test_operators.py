@@ -299,7 +299,7 @@ def test_short_and_unsegmented_lines(spark, tmp_path):
 
 def test_line_signatures_meet():
     r = random.Random(6)
-    for percent in (70, 80, 90, 95):
+    for percent in (70, 80, 85, 90, 95):
         for _ in range(400):
             a = [r.choice(b"abcdefghijkl") for _ in range(r.randint(1, 60))]
             b = list(a)
@@ -309,12 +309,22 @@ def test_line_signatures_meet():
             x, y = ([bytes([c]) for c in z] for z in (a, b))
             if not b or a == b or not line_dedup.similar(*(b" ".join(z).decode() for z in (x, y)), percent):
                 continue
-            h = line_dedup.WordHashes()
-            common = (np.sort(h.of([b"a", b"b", b"c"])), np.array([5, 9, 7]))
-            (s, t), (p, q) = line_dedup.signatures([x, y], h, common, percent)
-            assert set(p.tolist()) & set(q.tolist()), (x, y, percent)
-            differ = np.bitwise_count(np.frombuffer(s, np.uint8) ^ np.frombuffer(t, np.uint8)).sum()
-            assert differ <= line_dedup.apart(len(x), len(y), percent)
+            words = lambda w: line_dedup.hashed_lines([b" ".join(w).decode()])[2]
+            common = (np.sort(words([b"a", b"b", b"c"])), np.array([5, 9, 7]))
+            sketch, sig, line = line_dedup.signatures(np.array([len(x), len(y)]), words(x + y), common, percent)
+            assert set(sig[line == 0].tolist()) & set(sig[line == 1].tolist()), (x, y, percent)
+            assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= line_dedup.apart(len(x), len(y), percent)
+
+
+def test_hashed_lines_are_the_normalised_ones():
+    cases = ["Some Line, of 12 words\n\n7 a\n-- x --\n", None, "", "\n", "\u5929\u5730 ok\n\u00e9t\u00e9 99 b c d", "x" * 5000 + " y", "tab\tand\rothers 1 2 3"]
+    per, n, h, g = line_dedup.hashed_lines(cases)
+    lines = [ws for t in cases for ws in line_dedup.normalised_lines(t)]
+    assert per.tolist() == [len(line_dedup.normalised_lines(t)) for t in cases] and n.tolist() == [len(ws) for ws in lines]
+    words = [w for ws in lines for w in ws]
+    for own in (h, g):
+        assert len(own) == len(words) and len(set(own.tolist())) == len(set(words))
+        assert len({(w, x) for w, x in zip(words, own.tolist(), strict=True)}) == len(set(words))
 
 
 def test_edits():
@@ -332,7 +342,7 @@ def test_edits():
     for _ in range(600):
         a, b = ([r.randint(0, 3) for _ in range(r.randint(0, 10))] for _ in range(2))
         for most in (0, 1, 3, 20):
-            assert line_dedup.edits(np.array(a, np.int64), np.array(b, np.int64), most) == min(brute(a, b), most + 1)
+            assert line_dedup.edits(a, b, most) == min(brute(a, b), most + 1)
 
 
 def test_lm_gradients_and_scores(spark, docs, monkeypatch):
@@ -354,6 +364,9 @@ def test_lm_gradients_and_scores(spark, docs, monkeypatch):
                 side.append(-lm_score.log_likelihoods(v, seqs, 3).sum())
             g = (side[0] - side[1]) / 2e-5
             assert abs(abs(g) - np.sqrt(squares[k][at])) < 1e-3 * (1 + abs(g))
+    # Lanes hold no more than the tokens, whatever the lengths.
+    lanes = lm_score.Lanes([rng.integers(0, 6, n).astype(np.int32) for n in (30_000, 5, 0, 40)], 3, 7)
+    assert len(lanes.target) == len(lanes.given) == 30_045 and sum(len(at) for _, at in lanes.windows(7)) == 30_045
     # States are carried over windows: the window's length changes nothing.
     long = [rng.integers(0, 6, 200).astype(np.int32)]
     a = lm_score.log_likelihoods(w, long, 3)
