@@ -30,8 +30,8 @@ STEPS = 2000
 TOLERANCE = 1e-4
 #: Mean movement of the rates in a step at which they stand still.
 STILL = 1e-7
-#: Or the distance from the targets has lost less than a thousandth in so many steps.
-STALLED = 25
+#: Or the squared distance from the targets has lost less than a hundredth in so many steps.
+STALLED, GAIN = 25, 0.01
 #: Target shares of tokens by domain.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
 
@@ -172,7 +172,7 @@ def fit_rates(table: DataFrame, targets: list[float], epochs: float = 1.0, steps
         previous, totals = totals, got[:k]
         age = age + 1 if (totals - want) @ measure @ (totals - want) <= error else 0  # restart when it swings over
         errors.append(float((totals - want) @ measure @ (totals - want)))
-        stalled = len(errors) > STALLED and min(errors[-STALLED:]) > 0.999 * min(errors[:-STALLED])
+        stalled = len(errors) > STALLED and min(errors[-STALLED:]) > (1 - GAIN) * min(errors[:-STALLED])
         if stalled or got[k] < STILL * budget:
             if not measures:
                 break
