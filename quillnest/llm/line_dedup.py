@@ -5,14 +5,15 @@ signs and white space as one space, each character of a script without spaces as
 Equal normalised lines are one class (rows of 16 bytes, pre-aggregated). Two lines within the edit similarity keep most
 of their grams of three neighbouring words, so they share one of the few rarest grams of each (see ``reach``): these are the
 signatures, and no line within the similarity is missed. Candidates are ruled out by word parities and verified by word
-edit distance, see ``linkage`` for hot signatures, and of each connected group the occurrence
+edit distance where the lines of a signature come together, and of each connected group the occurrence
 that comes first by (doc_id, line number) stays.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, LOWER, Scratch, fresh, hash_share, mix64, quoted, select_ids, tidied, tidy
-from .linkage import linked_components
+from .components import components
+from .linkage import BLOCK
 
 BITS = 128
 #: Edit similarity of two lines: 1 - edits / words of the longer one, in percent.
@@ -30,10 +32,14 @@ PERCENT = 90
 LEAST_PERCENT = 70
 #: Default of ``least``, and fewer words than so many keep their digits: they have little else to tell them apart.
 LEAST_WORDS = 4
+#: Bytes from which a word is hashed by byte, so that few long words take no step for each eight bytes.
+LONG_WORD = 64
 #: Characters of texts whose lines are hashed together; signatures and lines that a batch sends together.
 PIECE, BATCH = 1_000_000, 1_000_000
 #: Lines of a batch from which a signature is shared for certain.
 HOT = 64
+#: Lines of a signature that a bucket compares with each other; words of a line as a bucket knows them, at most.
+WHOLE, LONG = 512, 65_535
 #: Documents in which words are counted, and words that are known as frequent: for the order of signatures only.
 SAMPLED, FREQUENT = 5000, 50_000
 _SIGNS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 or b == 10 else 32 for b in LOWER)
@@ -60,26 +66,35 @@ def normalised_lines(text: str | None) -> list[list[bytes]]:
 
 def hashed_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines of each text; and of all lines together, as ``normalised_lines`` has them: words of each line, and two
-    independent 64-bit hashes of every word (sums over its bytes and their places)."""
+    independent 64-bit hashes of every word (eight bytes at a time; of long words sums over bytes and their places)."""
     parts = [_folded(t) for t in texts]
     lines = np.array([x.count(b"\n") + 1 for x in parts], np.int64)
-    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    data = np.frombuffer(bytearray(b" " + b"\n".join(parts) + b" " * 8), np.uint8)
     inside = data > 32
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, size = edge[::2], edge[1::2] - edge[::2]
     feed = np.flatnonzero(data == 10)
-    of = np.searchsorted(feed, start)  # the line of each word
-    n = np.bincount(of, minlength=int(lines.sum()))
-    at, size = np.flatnonzero(inside), stop - start
-    first = np.cumsum(size) - size
-    byte = data[at].astype(np.uint64)
-    fold = np.repeat(n[of] >= LEAST_WORDS, size) & (byte >= 48) & (byte <= 57)
-    byte[fold] = 48
-    byte |= (np.arange(len(at)) - np.repeat(first, size)).astype(np.uint64) << np.uint64(8)
-    out = []
-    for seed in _SEEDS:
-        h = np.add.reduceat(mix64(byte ^ seed), first) if len(first) else np.zeros(0, np.uint64)
-        out.append(mix64(h + size.astype(np.uint64)))
+    n = np.diff(np.searchsorted(start, feed), prepend=0, append=len(start)) if len(texts) else np.zeros(0, np.int64)
+    digit = np.flatnonzero((data >= 48) & (data <= 57))
+    data[digit[n[np.searchsorted(feed, digit)] >= LEAST_WORDS]] = 48
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    piece = eight[start] & mask[np.minimum(size, 8)]
+    out = [mix64(piece ^ seed) for seed in _SEEDS]
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(more):
+        piece = eight[start[more] + at] & mask[np.minimum(size[more] - at, 8)]
+        for h in out:
+            h[more] = mix64(h[more] + piece)
+        at += 8
+        more = more[size[more] > at]
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        first = np.cumsum(size[long]) - size[long]
+        place = np.arange(size[long].sum()) - np.repeat(first, size[long])
+        byte = data[np.repeat(start[long], size[long]) + place] | place.astype(np.uint64) << np.uint64(8)
+        for h, seed in zip(out, _SEEDS, strict=True):
+            h[long] = mix64(np.add.reduceat(mix64(byte ^ seed), first) + size[long].astype(np.uint64))
     return lines, n, out[0], out[1]
 
 
@@ -147,15 +162,18 @@ def reach(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     Of grams of q words, an insertion breaks q - 1 of the shorter line, another edit q. So if e edits lead to a line longer
     by d, at most q e - d grams of the shorter one and q e of the longer one are not shared, and one more is enough.
     """
-    q = gram(percent)
     sizes, back = np.unique(n, return_inverse=True)
-    out = np.zeros(len(sizes), np.int64)
-    for i, x in enumerate(sizes.tolist()):
-        # Each ten-odd words more allow an edit more, which breaks q grams at most: the first jumps decide.
-        d = np.arange(min(x, q * 100 // max(1, 100 - percent) + 2) + 1)
-        e = (100 - percent) * (x + d) // 100
-        out[i] = np.where((d <= e) & (e > 0), q * e - d, -1).max()
-    return np.where(out > 0, out + 1, 0)[back]
+    return np.array([_reach(x, percent) for x in sizes.tolist()], np.int64)[back]
+
+
+@functools.lru_cache(100_000)
+def _reach(x: int, percent: int) -> int:
+    # Each ten-odd words more allow an edit more, which breaks q grams at most: the first jumps decide.
+    q = gram(percent)
+    d = np.arange(min(x, q * 100 // max(1, 100 - percent) + 2) + 1)
+    e = (100 - percent) * (x + d) // 100
+    most = int(np.where((d <= e) & (e > 0), q * e - d, -1).max())
+    return most + 1 if most > 0 else 0
 
 
 def frequencies(docs: DataFrame, sampled: int = SAMPLED, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -188,65 +206,88 @@ def _pieces(texts) -> Iterator[list]:
 
 
 def signatures(n: np.ndarray, h: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word parities, BITS bits, of lines of n words with hashes h; and the lines' signatures, with the line of each."""
-    line = np.repeat(np.arange(len(n)), n)
-    odd = np.bincount(line * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(n) * BITS) & 1
-    sketch = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
+    """Word parities, BITS bits as two numbers, of lines of n words with hashes h; and the lines' signatures, with the
+    line of each.
+
+    The common order is by the frequency of a gram's rarest word, in quarters of a power of two, and then by hash. A key
+    of 48 bits has both, so the lines' numbers fit in front and one sort of plain numbers does all lines.
+    """
+    start = np.cumsum(n) - n
+    sketch, full = np.zeros((len(n), 2), np.uint64), n > 0
+    if len(h):
+        one = np.uint64(1) << (h & np.uint64(63))
+        low = one * (h >> np.uint64(6) & np.uint64(1))
+        for k, bits in enumerate((low, one ^ low)):
+            sketch[full, k] = np.bitwise_xor.reduceat(bits, start[full])
     want, q = reach(n, percent), gram(percent)
-    last = max(0, len(h) - q + 1)
-    first = np.flatnonzero((line[:last] == line[q - 1 :][:last]) & (want[line[:last]] > 0))
-    often = np.zeros(len(h), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        often = np.where(common[0][at] == h, common[1][at], 0)
-    words, seldom, own = h[first], often[first], line[first]
-    for k in range(1, q):
-        words, seldom = mix64(words) + h[first + k], np.minimum(seldom, often[first + k])
-    words = mix64(words)
-    order = np.lexsort((words, seldom, own))
-    words, own = words[order], own[order]
-    place = np.arange(len(own))
-    # The same gram again in a line is another signature: grams are counted with their repeats.
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (words[1:] != words[:-1])
-    again = place - np.maximum.accumulate(np.where(new, place, 0))
-    sig = np.where(again > 0, mix64(words + again.astype(np.uint64)), words)
-    start = np.searchsorted(own, np.arange(len(n)))
-    keep = place - start[own] < want[own]
-    return sketch, sig[keep], own[keep]
-
-
-#: Rows of ``_facts``: of lines, and of signatures that lines of two classes have.
-FACTS = "doc_id long, line long, h1 long, h2 long, n long, sketch binary, sig long, id long"
+    level = np.zeros(1 << 20, np.uint8)  # by the end of a word's hash: rare words that share it count as frequent
+    rank = np.argsort(common[1])
+    level[(common[0][rank] & np.uint64(len(level) - 1)).astype(np.int64)] = np.minimum(4 * np.log2(common[1][rank] + 1.0), 63)
+    some = np.flatnonzero(want)
+    sigs, owns = [], []
+    for at in range(0, len(some), 1 << 16):
+        line = some[at : at + (1 << 16)]
+        count = np.maximum(n[line] - q + 1, 0)
+        base = np.cumsum(count) - count
+        first = np.repeat(start[line] - base, count) + np.arange(count.sum())
+        seldom = level[(h & np.uint64(len(level) - 1)).astype(np.int64)]
+        words, rare = h[first], seldom[first]
+        for k in range(1, q):
+            words = words * _SEEDS[1] + h[first + k]
+            rare = np.minimum(rare, seldom[first + k])
+        key = mix64(words) >> np.uint64(22) | rare.astype(np.uint64) << np.uint64(42)
+        key |= np.repeat(np.arange(len(line)), count).astype(np.uint64) << np.uint64(48)
+        key.sort()
+        kept = np.minimum(count, want[line])
+        place = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+        key = key[np.repeat(base, kept) + place]
+        # The same gram again in a line is another signature: grams are counted with their repeats.
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        spot = np.arange(len(key))
+        again = (spot - np.maximum.accumulate(np.where(new, spot, 0))).astype(np.uint64)
+        sigs.append(mix64((key & np.uint64((1 << 48) - 1)) + (again << np.uint64(48))))
+        owns.append(np.repeat(line, kept))
+    return sketch, np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), np.concatenate(owns) if owns else np.zeros(0, np.int64)
+
+
+#: Rows of ``_facts``: of lines, and of groups of classes that share a signature.
+FACTS = "doc_id long, line long, h1 long, h2 long, sig long, whole boolean, ids binary"
 
 
 def _facts(docs: DataFrame, least: int, percent: int, buckets: int) -> DataFrame:
-    """A row for each eligible line (where it is, the hashes of its normalised form, its words and parities), and one for
-    each signature (sig, id) that another class has, too. The parities are left out for a line that a batch had before.
-
-    Signatures meet in buckets of the hash space, as plain arrays: most have no partner and end there. A
-    signature that very many lines of one batch have is shared for certain and does not go through a bucket, so a
-    bucket's load is bounded by the number of batches, however many lines have it.
+    """A row for each eligible line (where it is, the hashes of its normalised form), and one for each group of classes
+    that share a signature (sig, ids).
+
+    Signatures meet in buckets of the hash space, as plain arrays with parities (folded to 64) and the word count of their line:
+    most have no partner that these allow and end there. Lines that are connected by allowed pairs are a whole
+    group, named after its members: the many signatures that two similar lines share give the same group. A
+    signature that very many lines of one batch have does not go through a bucket, so a bucket's load is bounded by the
+    number of batches; its lines, and those of a signature with more than WHOLE, are parts of a group.
     """
     common = frequencies(docs)
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=object).astype(np.uint64)
+    low = np.uint64(0xFFFFFFFF)
 
-    def send(lines: list[np.ndarray], sketches: list[np.ndarray], news: list[np.ndarray], sigs: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
-        rows, place = np.concatenate(lines, axis=1), np.concatenate(news)
-        sig, own = np.concatenate(sigs), np.concatenate(ids)
+    def send(lines: list[np.ndarray], sigs: list[np.ndarray], ids: list[np.ndarray], bits: list[np.ndarray], sizes: list[np.ndarray]) -> pd.DataFrame:
+        rows = np.concatenate(lines, axis=1)
+        sig, own, odd, n = (np.concatenate(x) for x in (sigs, ids, bits, sizes))
         order = np.argsort(sig)
-        sig, own = sig[order], own[order]
+        sig, own, odd, n = sig[order], own[order], odd[order], np.minimum(n[order], LONG).astype(np.uint16)
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         hot = np.repeat(np.diff(np.append(first, len(sig))) > HOT, np.diff(np.append(first, len(sig))))
         at = int(rows[0, 0] % buckets) if rows.shape[1] else 0
-        out = [(at, 1, rows.tobytes(), np.concatenate(sketches).tobytes(), place.tobytes()), (at, 2, sig[hot].tobytes(), own[hot].tobytes(), b"")]
-        # Of a hot one a few lines go through its bucket, where those of other batches find that it is shared.
+        named = np.searchsorted(edges, sig[hot], "right").astype(np.uint64) << np.uint64(32) | sig[hot] & low
+        out = [(at, 1, rows.tobytes(), b"", b"", b""), (at, 2, named.tobytes(), own[hot].tobytes(), b"", b"")]
+        # Of a hot one a line goes through its bucket, marked by no words, where those of other batches find that it is hot.
+        n[hot] = 0
         thin = ~hot
         thin[first] = True
-        sig, own = sig[thin], own[thin]
+        sig, own, odd, n = sig[thin], own[thin], odd[thin], n[thin]
         cut = np.concatenate(([0], np.searchsorted(sig, edges), [len(sig)]))
-        out += [(k, 0, sig[a:b].tobytes(), own[a:b].tobytes(), b"") for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"])
+        code = sig.astype(np.uint32)
+        out += [(k, 0, *(x[a:b].tobytes() for x in (code, own, odd, n))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c", "d"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple = ([], [], [], [], [])
@@ -261,20 +302,16 @@ def _facts(docs: DataFrame, least: int, percent: int, buckets: int) -> DataFrame
                 whose = np.repeat(docs, per)[good]
                 word = np.repeat(good, n)
                 h, g, n, at = h[word], g[word], n[good], at[good]
-                first = np.cumsum(n) - n
-                step = (np.arange(len(h)) - np.repeat(first, n) + 1).astype(np.uint64) * _SEEDS[0]
-                h1, h2 = (np.add.reduceat(mix64(x + step), first) if len(n) else np.zeros(0, np.uint64) for x in (h, g))
+                h1, h2 = _line_hash(n, h), _line_hash(n, g)
                 _, one = np.unique(h1, return_index=True)
                 one = np.sort(one[~np.isin(h1[one], seen)])
                 seen = np.union1d(seen, h1[one])
                 mine = np.zeros(len(n), bool)
                 mine[one] = True
                 sketch, sig, line = signatures(n[one], h[np.repeat(mine, n)], common, percent)
-                held[0].append(np.stack([whose, at, h1.view(np.int64), h2.view(np.int64), n]))
-                held[1].append(sketch)
-                held[2].append(mine)
-                held[3].append(sig)
-                held[4].append(h1[one][line])
+                new = (np.stack([whose, at, h1.view(np.int64), h2.view(np.int64)]), sig, h1[one][line], np.bitwise_xor(*sketch[line].T), n[one][line])
+                for x, y in zip(held, new, strict=True):
+                    x.append(y)
                 load += len(sig) + len(n)
                 if load > BATCH:
                     yield send(*held)
@@ -284,45 +321,221 @@ def _facts(docs: DataFrame, least: int, percent: int, buckets: int) -> DataFrame
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for kind, a, b, c in zip(pdf["kind"], pdf["a"], pdf["b"], pdf["c"], strict=True):
+        for kind, a, b in zip(pdf["kind"], pdf["a"], pdf["b"], strict=True):
             if kind == 1 and len(a):
-                rows, mine = np.frombuffer(a, np.int64).reshape(5, -1), np.frombuffer(c, bool)
-                sketch = np.full(len(mine), None, object)
-                sketch[mine] = [b[k : k + BITS // 8] for k in range(0, len(b), BITS // 8)]
-                out.append(pd.DataFrame(dict(zip(("doc_id", "line", "h1", "h2", "n"), rows, strict=True)) | {"sketch": sketch}))
+                out.append(pd.DataFrame(dict(zip(("doc_id", "line", "h1", "h2"), np.frombuffer(a, np.int64).reshape(4, -1), strict=True))))
             elif kind == 2 and len(a):
-                out.append(pd.DataFrame({"sig": np.frombuffer(a, np.int64), "id": np.frombuffer(b, np.int64)}))
+                out.append(_listed(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), False))
         sent = pdf[pdf["kind"] == 0]
         if len(sent):
-            sig, own = (np.frombuffer(b"".join(sent[c]), np.int64) for c in "ab")
-            order = np.lexsort((own, sig))
-            sig, own = sig[order], own[order]
-            new = np.ones(len(sig), bool)  # copies of a line send the same in several batches
-            new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-            sig, own = sig[new], own[new]
-            pair = np.zeros(len(sig), bool)
-            pair[1:] = sig[1:] == sig[:-1]
-            pair[:-1] |= pair[1:]
-            out.append(pd.DataFrame({"sig": sig[pair], "id": own[pair]}))
+            code, own, odd, n = (np.frombuffer(b"".join(sent[c]), t) for c, t in (("a", np.uint32), ("b", np.int64), ("c", np.uint64), ("d", np.uint16)))
+            order = np.argsort(code.astype(np.uint64) << np.uint64(32) | own.view(np.uint64) & low)
+            code, own, n = code[order], own[order], n[order]
+            # Copies of a line send the same in several batches.
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (own[1:] != own[:-1]) | (n[1:] != n[:-1])
+            code, own, odd, n = code[new], own[new], odd[order[new]], n[new]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            size = np.diff(np.append(first, len(code)))
+            open_ = np.repeat((size > WHOLE) | (np.minimum.reduceat(n, first) == 0), size)
+            size = np.repeat(size, size)
+            name = code[open_].astype(np.int64) | int(sent["bucket"].iloc[0]) << 32
+            out.append(_listed(name, own[open_], False))
+            rest = ~open_ & (size > 1)
+            label = _connected(code[rest], odd[rest], n[rest].astype(np.int64), size[rest], percent)
+            own, kept = own[rest], label >= 0
+            own, label = own[kept], label[kept]
+            if len(own):
+                total = np.zeros(int(label.max()) + 1, np.uint64)
+                np.add.at(total, label, mix64(own.view(np.uint64)))
+                # A group once for all signatures of the bucket that have it.
+                used = np.unique(label)
+                _, one = np.unique(total[used], return_index=True)
+                once = np.isin(label, used[one])
+                out.append(_listed(total[label[once]].view(np.int64), own[once], True))
         names = [f.split()[0] for f in FACTS.split(", ")]
-        done = [x.reindex(columns=names).astype({c: "Int64" for c in names if c != "sketch"}) for x in out if len(x)]
+        kinds = {c: "Int64" for c in ("doc_id", "line", "h1", "h2", "sig")} | {"whole": "boolean"}
+        done = [x.assign(**{c: None for c in names if c not in x}).astype(kinds)[names] for x in out if len(x)]
         return pd.concat(done) if done else pd.DataFrame({c: [] for c in names})
 
-    sent = docs.mapInPandas(tidy(find), "bucket int, kind int, a binary, b binary, c binary")
+    sent = docs.mapInPandas(tidy(find), "bucket int, kind int, a binary, b binary, c binary, d binary")
     return sent.groupBy("bucket").applyInPandas(tidied(meet), FACTS)
 
 
-def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id and normalised text of the lines at places (doc_id, line, id)."""
+def _line_hash(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of each line of n > 0 words with hashes h, in their order."""
+    first = np.cumsum(n) - n
+    step = (np.arange(len(h)) - np.repeat(first, n) + 1).astype(np.uint64) * _SEEDS[0]
+    return np.add.reduceat(mix64(h + step), first) if len(n) else np.zeros(0, np.uint64)
+
 
-    def run(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        return pd.Series([[b" ".join(own[k]).decode("utf-8", "surrogatepass") for k in at] for own, at in ((normalised_lines(t), at) for t, at in zip(texts, lines, strict=True))])
+def _listed(sig: np.ndarray, own: np.ndarray, whole: bool) -> pd.DataFrame:
+    """A row for each sig, with the distinct ids that come with it in ascending order."""
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+    sig, own = sig[new], own[new]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    return pd.DataFrame({"sig": sig[first], "whole": whole, "ids": [x.tobytes() for x in np.split(own, first[1:])] if len(sig) else []})
+
+
+def _unlisted(groups: DataFrame) -> DataFrame:
+    """sig and id of each member of groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"sig": pdf["sig"].repeat(pdf["ids"].map(len) // 8), "id": np.frombuffer(b"".join(pdf["ids"]), np.int64)})
+
+    return groups.select("sig", "ids").mapInPandas(run, "sig long, id long")
+
+
+def _connected(code: np.ndarray, odd: np.ndarray, n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """A number for each entry: equal for those of a code that are connected by pairs which parities and words allow, -1 for
+    entries without such a pair. code: sorted; size: entries of the same code."""
+    at, left, right = np.arange(len(code)), [], []
+    for step in range(1, int(size.max()) if len(size) else 0):
+        at = at[size[at] > step]
+        i = at[at + step < len(code)]
+        i = i[code[i] == code[i + step]]
+        j = i + step
+        ok = (np.bitwise_count(odd[i] ^ odd[j]) <= apart(n[i], n[j], percent)) | (n[i] == LONG) | (n[j] == LONG)
+        left.append(i[ok])
+        right.append(j[ok])
+    label = np.arange(len(code))
+    if not left:
+        return label - len(code)
+    i, j = np.concatenate(left), np.concatenate(right)
+    while True:
+        least = np.minimum(label[i], label[j])
+        if (least == label[i]).all() and (least == label[j]).all():
+            break
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+    alone = np.ones(len(code), bool)
+    alone[i] = alone[j] = False
+    return np.where(alone, -1, label)
+
+
+def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """id and words (64-bit hashes, one after the other) of the lines at places (doc_id, line, id)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = 0
+            for texts in _pieces(pdf["text"]):
+                wanted = pdf["w"].iloc[done : done + len(texts)]
+                done += len(texts)
+                per, n, h, _ = hashed_lines(texts)
+                line, word = np.cumsum(per) - per, np.append(0, np.cumsum(n))
+                rows = [(w["id"], h[word[a + w["line"]] : word[a + w["line"] + 1]].tobytes()) for a, own in zip(line.tolist(), wanted, strict=True) for w in own]
+                yield pd.DataFrame(rows, columns=["id", "words"])
 
-    run.__annotations__ = {"texts": pd.Series, "lines": pd.Series, "return": pd.Series}
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("w"))
-    full = select_ids(docs, places.select("doc_id"), "left_semi").join(wanted, "doc_id")
-    found = full.select("w", F.pandas_udf(run, T.ArrayType(T.StringType()))("text", F.col("w.line")).alias("t"))
-    return found.select(F.explode(F.arrays_zip(F.col("w.id").alias("id"), F.col("t").alias("t"))).alias("r")).select("r.id", "r.t")
+    full = select_ids(docs, places.select("doc_id"), "left_semi").join(wanted, "doc_id").select("text", "w")
+    return full.mapInPandas(tidy(run), "id long, words binary")
+
+
+def _links(sig: int, ids: np.ndarray, words: list[bytes], sigs: list[bytes], comp: np.ndarray, left: int, percent: int) -> list[tuple[int, int]]:
+    """Verified links that connect lines (ids, word hashes) of different components, no more than it takes.
+
+    sigs: the groups of each line; a pair is looked at in the first of those that both have, here if that is sig.
+    left: if not 0, only pairs of one of the first so many lines with one of the others are looked at.
+    """
+    n = np.array([len(w) // 8 for w in words], np.int64)
+    h = np.frombuffer(b"".join(words), np.uint64)
+    first = np.cumsum(n) - n
+    one = np.uint64(1) << (h & np.uint64(63))
+    low = one * (h >> np.uint64(6) & np.uint64(1))
+    x, y = (np.bitwise_xor.reduceat(b, first) for b in (low, one ^ low))
+    a, b = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
+    far = np.bitwise_count(x[a, None] ^ x[None, b]).astype(np.int64) + np.bitwise_count(y[a, None] ^ y[None, b])
+    close = (far <= apart(n[a, None], n[None, b], percent)) & (comp[a, None] != comp[None, b])
+    if not left:
+        close = np.triu(close, 1)
+    if not close.any():
+        return []
+    row = np.repeat(np.arange(len(sigs)), [len(x) // 8 for x in sigs])
+    before = np.frombuffer(b"".join(sigs), ">u8").astype(np.uint64)
+    row, before = row[before < np.uint64(sig % (1 << 64))], before[before < np.uint64(sig % (1 << 64))]
+    _, column, count = np.unique(before, return_inverse=True, return_counts=True)
+    if len(count) and count.max() > 1:
+        place = np.cumsum(count > 1) - 1
+        has = np.zeros((len(ids), int(place[-1]) + 1), np.float32)
+        has[row[count[column] > 1], place[column[count[column] > 1]]] = 1
+        close &= has[a] @ has[b].T == 0
+    i, j = np.nonzero(close)
+    order = np.argsort(far[i, j], kind="stable")
+    i, j = i[order], j[order] + left
+    root = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out, seqs = [], {}
+    of = lambda k: seqs[k] if k in seqs else seqs.setdefault(k, h[first[k] : first[k] + n[k]].tolist())
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        u, v = top(int(comp[p])), top(int(comp[q]))
+        if u == v:
+            continue
+        most = (100 - percent) * int(max(n[p], n[q])) // 100
+        if edits(of(p), of(q), most) <= most:
+            root[u] = v
+            out.append((int(ids[p]), int(ids[q])))
+    return out
+
+
+def _linked_lines(groups: DataFrame, words_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """id and component of all classes with a link. groups: sig, whole, ids; words_of: ids to id and words.
+
+    Whole groups are searched in one piece; the others are dealt to blocks, each is searched, and then those pairs of blocks
+    that still hold several components. A search verifies pairs at once and gives only the links that connect: fewer than
+    it has lines, however many of its lines are similar.
+    """
+    whole = _unlisted(groups.where("whole").select("sig", "ids").distinct()).select("sig", F.lit(-1).alias("block"), "id")
+    parts = scratch.keep(_unlisted(groups.where("NOT whole")).distinct())
+    many = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", F.expr(f"CAST(n DIV {BLOCK} + 1 AS int)").alias("blocks"))
+    parts = scratch.keep(parts.join(many, "sig").select("sig", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "blocks"))
+    cells = scratch.keep(whole.unionByName(parts.drop("blocks")))
+    spelt = F.array_join(F.transform(F.sort_array(F.collect_set("sig")), lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    own = scratch.keep(cells.groupBy("id").agg(F.unhex(spelt).alias("sigs")))
+    words = scratch.keep(words_of(own.select("id")).join(own, "id"))
+    fields = ("id", "words", "sigs")
+    gathered = [F.collect_list(c).alias(c) for c in fields]
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = zip(pdf["sig"].tolist(), *(pdf[c] for c in fields), strict=True)
+            out = [r for sig, ids, ws, gs in rows if len(ids) > 1 for r in _links(sig, np.asarray(ids), list(ws), list(gs), np.arange(len(ids)), 0, percent)]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    lists = cells.join(words, "id").groupBy("sig", "block").agg(*gathered)
+    links = scratch.keep(lists.drop("block").mapInPandas(tidy(alone), "a long, b long").distinct())
+    comp = components(links, scratch)
+    rows = parts.where("blocks > 1").join(comp, "id", "left").select("sig", "block", "blocks", "id", F.coalesce("component", "id").alias("comp"))
+    rows = scratch.keep(rows)
+    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    if mixed.isEmpty():
+        return comp
+    fields += ("comp",)
+    lists = rows.join(mixed, "sig").join(words, "id").groupBy("sig", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in fields))
+    lists = scratch.keep(lists)
+    x = lists.select("sig", *(F.col(c).alias(f"x_{c}") for c in fields), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("i")).where("i < block")
+    both = x.join(lists.select("sig", "block", *(F.col(c).alias(f"y_{c}") for c in fields)), ["sig", "block"])
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sig, *both in zip(pdf["sig"].tolist(), *(pdf[f"{s}_{c}"] for c in fields for s in "xy"), strict=True):
+                ids, ws, gs, cs = ([*x, *y] for x, y in zip(both[::2], both[1::2], strict=True))
+                out += _links(sig, np.array(ids), ws, gs, np.array(cs), len(both[0]), percent)
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    new = scratch.keep(both.drop("block", "i").mapInPandas(tidy(across), "a long, b long").distinct())
+    return comp if new.isEmpty() else components(links.unionByName(new), scratch)
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
@@ -337,32 +550,16 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     own = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * own.rdd.getNumPartitions())
     facts = scratch.keep(_facts(own, least, percent, buckets))
-    rows = facts.where("doc_id IS NOT NULL")
+    rows = facts.where("doc_id IS NOT NULL").select("doc_id", "line", "h1", "h2")
     place = F.struct("doc_id", "line")
-    classes = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = scratch.keep(classes)
-    # An id of 64 bits: should two classes share one, their texts are both verified under it.
-    items = classes.select(F.col("h1").alias("id"), F.col("n").alias("size"), "sketch")
-    index = facts.where("sig IS NOT NULL").select("sig", "id")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        def same(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([similar(a, b, percent) for a, b in zip(x, y, strict=True)], dtype=bool)
-
-        same.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-        sketch = lambda c: items.select(F.col("id").alias(c), F.col("size").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
-        near = scratch.keep(_near(pairs.join(sketch("b"), "b").join(sketch("a"), "a"), percent))
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        places = scratch.keep(classes.select(F.col("h1").alias("id"), "first.doc_id", "first.line").join(ids, "id", "left_semi"))
-        texts = scratch.keep(_line_texts(own, places))
-        side = lambda c: texts.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t"))
-        full = near.join(side("b"), "b").join(side("a"), "a")
-        return full.where(F.pandas_udf(same, T.BooleanType())("a_t", "b_t")).select("a", "b").distinct()
-
-    def limit(n, others):
-        return apart(n, others, percent)
-
-    comp = linked_components(index, items, verify, limit, scratch)
+    classes = scratch.keep(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+
+    def words_of(ids: DataFrame) -> DataFrame:
+        # An id of 64 bits: should two classes share one, both are verified under it.
+        places = select_ids(classes.select(F.col("h1").alias("id"), "first.doc_id", "first.line"), ids, "left_semi", "id")
+        return _line_words(own, scratch.keep(places))
+
+    comp = _linked_lines(facts.where("ids IS NOT NULL").select("sig", "whole", "ids"), words_of, percent, scratch)
     named = classes.join(comp.select(F.col("id").alias("h1"), "component"), "h1", "left")
     heads = scratch.keep(named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head")))
     if heads.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -372,15 +569,6 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     return rows.join(named, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "line").distinct()
 
 
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their word parities and lengths don't rule out, as ``apart``; native bit counts over parts of 32 bits."""
-    part = lambda c, i: F.conv(F.hex(F.substring(c, F.lit(4 * i + 1), F.lit(4))), 16, 10).cast("long")
-    bits = sum((F.bit_count(part("a_s", i).bitwiseXOR(part("b_s", i))) for i in range(BITS // 32)), F.lit(0))
-    edits_left = F.expr(f"{100 - percent} * greatest(a_n, b_n) DIV 100")
-    far = F.abs(F.col("a_n") - F.col("b_n"))
-    return pairs.where((far <= edits_left) & (bits <= 2 * edits_left - far)).select("a", "b").distinct()
-
-
 def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated lines taken out of their text, and an array column ``dropped_lines`` (``_dropped_lines``
     where that name is taken) of their numbers, null where there are none.

@@ -316,6 +316,23 @@ def test_line_signatures_meet():
             assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= line_dedup.apart(len(x), len(y), percent)
 
 
+def test_line_groups_give_only_links_that_connect():
+    r = random.Random(8)
+    base = [f"{r.choice(WORDS)}{i}" for i in range(60)]
+    rows = [base[:k] + ["new"] + base[k + 1 :] for k in range(40)]
+    words = [line_dedup.hashed_lines([" ".join(x)])[2].tobytes() for x in rows]
+    ids, own = np.arange(40) + 7, [(5).to_bytes(8, "big")] * 40
+    links = line_dedup._links(5, ids, words, own, ids, 0, 90)
+    parent = {i: i for i in ids.tolist()}
+    for a, b in links:
+        for i in [i for i in parent if parent[i] == parent[a]]:
+            parent[i] = parent[b]
+    assert len(links) == 39 and len(set(parent.values())) == 1
+    # Two blocks, each of one component: one link; a pair that has met in an earlier group: none.
+    assert len(line_dedup._links(5, ids, words, own, np.repeat([7, 27], 20), 20, 90)) == 1
+    assert line_dedup._links(5, ids, words, [(3).to_bytes(8, "big") + x for x in own], ids, 0, 90) == []
+
+
 def test_hashed_lines_are_the_normalised_ones():
     cases = ["Some Line, of 12 words\n\n7 a\n-- x --\n", None, "", "\n", "\u5929\u5730 ok\n\u00e9t\u00e9 99 b c d", "x" * 5000 + " y", "tab\tand\rothers 1 2 3"]
     per, n, h, g = line_dedup.hashed_lines(cases)
