@@ -112,10 +112,17 @@ def _deal(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
-    """Rows (doc_id, n, digest, common): one of each document, and further ones with null digest that add to common,
-    the number of hashes in its hash-order prefix that another document has too."""
+    """A row of each document: doc_id, n, digest, and whether it is open: as many hashes of its hash-order prefix as a link
+    takes are another document's, too.
 
-    def send(own: list, ids: list, n: list, digest: list) -> pd.DataFrame:
+    Each task sends a hash once, in blocks. Buckets answer each batch with one row, the number of its documents' hashes
+    that other batches have; of documents that are open by their own batch nothing is asked.
+    """
+
+    def least(n: np.ndarray) -> np.ndarray:
+        return np.maximum(1, need(n, percent) // 10)
+
+    def send(batch: int, own: list, ids: list, n: list, digest: list) -> pd.DataFrame:
         every = np.concatenate(own)
         doc = np.repeat(np.arange(len(own)), [len(s) for s in own])
         order = np.argsort(every)
@@ -123,18 +130,20 @@ def _facts(docs: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(every)))
         common = np.bincount(doc[np.repeat(count > 1, count)], minlength=len(own))
-        docs = np.array(ids, np.int64)
-        once, who = every[first], np.where(count > 1, -1, docs[doc[first]])
-        known = (count > 1).astype(np.uint8)
+        done = common >= least(np.array(n, np.int64))
+        once, who = every[first], np.where((count > 1) | done[doc[first]], -1, doc[first]).astype(np.int32)
         cut = _deal(once, buckets)
-        rows = [(k, once[a:b].tobytes(), who[a:b].tobytes(), known[a:b].tobytes(), None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        rows.append((int(docs[0] % buckets), docs.tobytes(), np.array(n, np.int64).tobytes(), common.astype(np.int64).tobytes(), b"".join(digest)))
-        return pd.DataFrame(rows, columns=["bucket", "x", "y", "z", "digest"])
+        rows = [(k, batch, once[a:b].tobytes(), who[a:b].tobytes(), None, None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        rows.append((batch % buckets, batch, np.array(ids, np.int64).tobytes(), np.array(n, np.int64).tobytes(), common.astype(np.int64).tobytes(), b"".join(digest)))
+        return pd.DataFrame(rows, columns=["bucket", "batch", "x", "y", "z", "digest"])
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        hashes = WordHashes()
+        from pyspark import TaskContext
+
+        # A task that runs again names its batches as before.
+        hashes, batch = WordHashes(), TaskContext.get().partitionId() << 32
         own, ids, n, digest, load = [], [], [], [], 0
         for pdf in batches:
             for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -145,32 +154,44 @@ def _facts(docs: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 load += len(own[-1])
                 if load > BATCH_HASHES:
-                    yield send(own, ids, n, digest)
+                    yield send(batch, own, ids, n, digest)
                     own, ids, n, digest, load = [], [], [], [], 0
+                    batch += 1
         if own:
-            yield send(own, ids, n, digest)
+            yield send(batch, own, ids, n, digest)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
         facts = pdf[pdf["digest"].notna()]
-        for x, y, z, d in zip(facts["x"], facts["y"], facts["z"], facts["digest"], strict=True):
-            digest = [d[i : i + 16] for i in range(0, len(d), 16)]
-            out.append(pd.DataFrame({"doc_id": np.frombuffer(x, np.int64), "n": np.frombuffer(y, np.int64), "digest": digest, "common": np.frombuffer(z, np.int64)}))
+        out = [facts[["batch", "x", "y", "z", "digest"]]]
         sent = pdf[pdf["digest"].isna()]
         if len(sent):
             h = np.frombuffer(b"".join(sent["x"]), np.uint64)
-            who = np.frombuffer(b"".join(sent["y"]), np.int64)
-            known = np.frombuffer(b"".join(sent["z"]), np.uint8).astype(bool)
+            who = np.frombuffer(b"".join(sent["y"]), np.int32)
+            row = np.repeat(np.arange(len(sent)), [len(x) // 8 for x in sent["x"]])
             order = np.argsort(h)
-            h, who, known = h[order], who[order], known[order]
+            h = h[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             count = np.diff(np.append(first, len(h)))
-            ids, times = np.unique(who[np.repeat(count > 1, count) & ~known], return_counts=True)
-            out.append(pd.DataFrame({"doc_id": ids, "n": 0, "digest": None, "common": times}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "digest": [], "common": []})
-
-    sent = docs.mapInPandas(tidy(prefix), "bucket int, x binary, y binary, z binary, digest binary")
-    return sent.groupBy("bucket").applyInPandas(lambda pdf: _tidied(meet, pdf), "doc_id long, n long, digest binary, common long")
+            asked = order[np.repeat(count > 1, count)]
+            asked = asked[who[asked] >= 0]
+            for k in np.unique(row[asked]).tolist():
+                own, times = np.unique(who[asked[row[asked] == k]], return_counts=True)
+                out.append(pd.DataFrame({"batch": [sent["batch"].iloc[k]], "x": [own.tobytes()], "y": [times.astype(np.int64).tobytes()], "z": [None], "digest": [None]}))
+        return pd.concat(out)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        (facts,) = pdf[pdf["digest"].notna()].itertuples()
+        n, common = np.frombuffer(facts.y, np.int64), np.frombuffer(facts.z, np.int64).copy()
+        answers = pdf[pdf["digest"].isna()]
+        for x, y in zip(answers["x"], answers["y"], strict=True):
+            common[np.frombuffer(x, np.int32)] += np.frombuffer(y, np.int64)
+        digest = [facts.digest[i : i + 16] for i in range(0, len(facts.digest), 16)]
+        return pd.DataFrame({"doc_id": np.frombuffer(facts.x, np.int64), "n": n, "digest": digest, "open": common >= least(n)})
+
+    kind = "batch long, x binary, y binary, z binary, digest binary"
+    sent = docs.mapInPandas(tidy(prefix), f"bucket int, {kind}")
+    answers = sent.groupBy("bucket").applyInPandas(lambda pdf: _tidied(meet, pdf), kind)
+    return answers.groupBy("batch").applyInPandas(lambda pdf: _tidied(add, pdf), "doc_id long, n long, digest binary, open boolean")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -247,15 +268,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     scratch = Scratch(spark)
     own = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * own.rdd.getNumPartitions())
-    out = scratch.keep(_facts(own.where("doc_id IS NOT NULL"), buckets, percent, size))
-    facts = out.where("digest IS NOT NULL")
-    more = out.where("digest IS NULL").groupBy("doc_id").agg(F.sum("common").alias("more"))
+    facts = scratch.keep(_facts(own.where("doc_id IS NOT NULL"), buckets, percent, size))
     classes = facts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.keep(classes)
     lead = facts.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    common = F.col("common") + F.coalesce("more", F.lit(0))
-    least = F.expr(f"greatest(1, (({percent} * n + 99) DIV 100) DIV 10)")
-    open_ = scratch.keep(lead.join(more, "doc_id", "left").where(common >= least).select("doc_id").distinct())
+    open_ = scratch.keep(lead.where("open").select("doc_id").distinct())
     few = own.where("doc_id IS NOT NULL")
     sets = scratch.keep(_sets(select_ids(few, open_, "left_semi"), size))
     index = scratch.keep(_index(sets, buckets, percent, FREQUENT))

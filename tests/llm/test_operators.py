@@ -248,6 +248,24 @@ def test_long_conversation(spark):
     assert len(r.loss_spans) == sum(who == "assistant" for who, _ in want)
 
 
+def test_jaccard_filter_gives_a_row_a_document(spark):
+    r = random.Random(9)
+    base = [r.choice(WORDS) + str(i) for i in range(300)]
+    # Neighbours share shingles across batches and buckets, the last four only a few.
+    rows = [(i, " ".join(base[5 * i : 5 * i + 80])) for i in range(40)] + [(40 + i, " ".join(f"x{i}y{k}" for k in range(80)) + " " + " ".join(base[:5])) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = jaccard_join._facts(df, 16, 80, 5).collect()
+    got = {x.doc_id: (x.n, x.open) for x in out}
+    assert len(out) == len(rows)
+    hashes = jaccard_join.WordHashes()
+    sets = {i: jaccard_join.shingle_set(jaccard_join.words(t), hashes) for i, t in rows}
+    pre = {i: set(s[: len(s) - jaccard_join.need(len(s)) + max(1, len(s) // 10)].tolist()) for i, s in sets.items()}
+    for i, s in sets.items():
+        common = sum(any(h in p for j, p in pre.items() if j != i) for h in pre[i])
+        assert got[i] == (len(s), common >= max(1, jaccard_join.need(len(s)) // 10)), i
+    assert {x for _, x in got.values()} == {True, False}
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog again and again"
     long = " ".join(f"word{i % 700}a" for i in range(3000))
