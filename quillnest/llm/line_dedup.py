@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, LOWER, Scratch, fresh, hash_share, mix64, quoted, select_ids, tidied, tidy
+from .common import BROADCAST_IDS, LOWER, Scratch, fresh, hash_share, mix64, quoted, tidied, tidy
 from .components import components
 from .linkage import BLOCK
 
@@ -418,8 +418,16 @@ def _connected(code: np.ndarray, odd: np.ndarray, n: np.ndarray, size: np.ndarra
     return np.where(alone, -1, label)
 
 
+def _among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df before a join with ids on key: where few ids are left, without its other rows, so that they are not shuffled."""
+    ids = ids.select(key).distinct()
+    return df.join(F.broadcast(ids), key, "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id and words (64-bit hashes, one after the other) of the lines at places (doc_id, line, id)."""
+    """id, words (64-bit hashes, one after the other), sig and block (arrays) and sigs (the former as bytes) of the lines at
+    places (doc_id, line, id, cells). A text is shuffled once at most."""
+    cell = np.dtype([("sig", ">i8"), ("block", ">i4")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -429,12 +437,17 @@ def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
                 done += len(texts)
                 per, n, h, _ = hashed_lines(texts)
                 line, word = np.cumsum(per) - per, np.append(0, np.cumsum(n))
-                rows = [(w["id"], h[word[a + w["line"]] : word[a + w["line"] + 1]].tobytes()) for a, own in zip(line.tolist(), wanted, strict=True) for w in own]
-                yield pd.DataFrame(rows, columns=["id", "words"])
+                rows = []
+                for a, own in zip(line.tolist(), wanted, strict=True):
+                    for w in own:
+                        cells = np.frombuffer(w["cells"], cell)
+                        words = h[word[a + w["line"]] : word[a + w["line"] + 1]]
+                        rows.append((w["id"], words.tobytes(), cells["sig"].astype(np.int64), cells["block"].astype(np.int32) - 1, cells["sig"].tobytes()))
+                yield pd.DataFrame(rows, columns=["id", "words", "sig", "block", "sigs"])
 
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("w"))
-    full = select_ids(docs, places.select("doc_id"), "left_semi").join(wanted, "doc_id").select("text", "w")
-    return full.mapInPandas(tidy(run), "id long, words binary")
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id", "cells")).alias("w"))
+    full = _among(docs, places, "doc_id").join(wanted, "doc_id").select("text", "w")
+    return full.mapInPandas(tidy(run), "id long, words binary, sig array<long>, block array<int>, sigs binary")
 
 
 def _links(sig: int, ids: np.ndarray, words: list[bytes], sigs: list[bytes], comp: np.ndarray, left: int, percent: int) -> list[tuple[int, int]]:
@@ -489,7 +502,8 @@ def _links(sig: int, ids: np.ndarray, words: list[bytes], sigs: list[bytes], com
 
 
 def _linked_lines(groups: DataFrame, words_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """id and component of all classes with a link. groups: sig, whole, ids; words_of: ids to id and words.
+    """id and component of all classes with a link. groups: sig, whole, ids; words_of: id and cells (sig and block of each,
+    as bytes) to what ``_line_words`` returns.
 
     Whole groups are searched in one piece; the others are dealt to blocks, each is searched, and then those pairs of blocks
     that still hold several components. A search verifies pairs at once and gives only the links that connect: fewer than
@@ -499,10 +513,11 @@ def _linked_lines(groups: DataFrame, words_of: Callable[[DataFrame], DataFrame],
     parts = scratch.keep(_unlisted(groups.where("NOT whole")).distinct())
     many = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", F.expr(f"CAST(n DIV {BLOCK} + 1 AS int)").alias("blocks"))
     parts = scratch.keep(parts.join(many, "sig").select("sig", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "blocks"))
-    cells = scratch.keep(whole.unionByName(parts.drop("blocks")))
-    spelt = F.array_join(F.transform(F.sort_array(F.collect_set("sig")), lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    own = scratch.keep(cells.groupBy("id").agg(F.unhex(spelt).alias("sigs")))
-    words = scratch.keep(words_of(own.select("id")).join(own, "id"))
+    cells = whole.unionByName(parts.drop("blocks"))
+    spell = lambda x: F.concat(F.lpad(F.hex(x["sig"]), 16, "0"), F.lpad(F.hex(x["block"] + 1), 8, "0"))
+    spelt = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("sig", "block"))), spell), "")
+    own = scratch.keep(cells.groupBy("id").agg(F.unhex(spelt).alias("cells")))
+    words = scratch.keep(words_of(own))
     fields = ("id", "words", "sigs")
     gathered = [F.collect_list(c).alias(c) for c in fields]
 
@@ -512,16 +527,19 @@ def _linked_lines(groups: DataFrame, words_of: Callable[[DataFrame], DataFrame],
             out = [r for sig, ids, ws, gs in rows if len(ids) > 1 for r in _links(sig, np.asarray(ids), list(ws), list(gs), np.arange(len(ids)), 0, percent)]
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    lists = cells.join(words, "id").groupBy("sig", "block").agg(*gathered)
+    each = words.select(*fields, F.explode(F.arrays_zip("sig", "block")).alias("cell"))
+    lists = each.select("cell.sig", "cell.block", *fields).groupBy("sig", "block").agg(*gathered)
     links = scratch.keep(lists.drop("block").mapInPandas(tidy(alone), "a long, b long").distinct())
     comp = components(links, scratch)
     rows = parts.where("blocks > 1").join(comp, "id", "left").select("sig", "block", "blocks", "id", F.coalesce("component", "id").alias("comp"))
     rows = scratch.keep(rows)
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     if mixed.isEmpty():
+        scratch.drop(parts, own, words, rows)
         return comp
+    each = rows.join(mixed, "sig").join(words.select(*fields), "id")
     fields += ("comp",)
-    lists = rows.join(mixed, "sig").join(words, "id").groupBy("sig", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in fields))
+    lists = each.groupBy("sig", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in fields))
     lists = scratch.keep(lists)
     x = lists.select("sig", *(F.col(c).alias(f"x_{c}") for c in fields), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("i")).where("i < block")
     both = x.join(lists.select("sig", "block", *(F.col(c).alias(f"y_{c}") for c in fields)), ["sig", "block"])
@@ -535,7 +553,9 @@ def _linked_lines(groups: DataFrame, words_of: Callable[[DataFrame], DataFrame],
             yield pd.DataFrame(out, columns=["a", "b"])
 
     new = scratch.keep(both.drop("block", "i").mapInPandas(tidy(across), "a long, b long").distinct())
-    return comp if new.isEmpty() else components(links.unionByName(new), scratch)
+    comp = comp if new.isEmpty() else components(links.unionByName(new), scratch)
+    scratch.drop(parts, own, words, rows, lists)
+    return comp
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
@@ -554,19 +574,25 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", per
     place = F.struct("doc_id", "line")
     classes = scratch.keep(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
 
-    def words_of(ids: DataFrame) -> DataFrame:
+    places: list[DataFrame] = []
+
+    def words_of(cells: DataFrame) -> DataFrame:
         # An id of 64 bits: should two classes share one, both are verified under it.
-        places = select_ids(classes.select(F.col("h1").alias("id"), "first.doc_id", "first.line"), ids, "left_semi", "id")
-        return _line_words(own, scratch.keep(places))
+        found = _among(classes.select(F.col("h1").alias("id"), "first.doc_id", "first.line"), cells, "id")
+        places.append(scratch.keep(found.join(cells, "id")))
+        return _line_words(own, places[-1])
 
     comp = _linked_lines(facts.where("ids IS NOT NULL").select("sig", "whole", "ids"), words_of, percent, scratch)
     named = classes.join(comp.select(F.col("id").alias("h1"), "component"), "h1", "left")
+    named = scratch.keep(named.where("component IS NOT NULL OR first < last"))
+    scratch.drop(classes, *places)
     heads = scratch.keep(named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head")))
     if heads.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         heads = F.broadcast(heads)  # so that the lines of a large group need not come together
-    named = named.where("component IS NOT NULL OR first < last").join(heads, "component", "left")
-    named = named.select("h1", "h2", F.coalesce("head", "first").alias("head"))
-    return rows.join(named, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "line").distinct()
+    first = named.join(heads, "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("head"))
+    out = scratch.keep(rows.join(first, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "line").distinct())
+    scratch.drop(facts, named)
+    return out
 
 
 def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
@@ -576,10 +602,8 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     The other lines, line feeds and columns are unchanged; a text that loses all its lines is empty. See
     ``repeated_lines`` for nulls, repeated rows and short lines. An empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession)
     name, drop = fresh(docs, "dropped_lines", "drop_from")
-    lines = scratch.keep(repeated_lines(docs, text, key, percent, least))
-    few = lines.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    lines = repeated_lines(docs, text, key, percent, least)
     drops = lines.groupBy(F.col("doc_id").alias(drop)).agg(F.sort_array(F.collect_list("line")).alias(name))
 
     def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -593,7 +617,8 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
         return pd.Series(out)
 
     cut.__annotations__ = {"texts": pd.Series, "dropped": pd.Series, "return": pd.Series}
-    out = docs.join(F.broadcast(drops) if few else drops, quoted(key) == F.col(drop), "left").drop(drop)
+    # The lines to drop grow with the corpus: the planner alone decides whether they are few enough for a broadcast.
+    out = docs.join(drops, quoted(key) == F.col(drop), "left").drop(drop)
     # Only texts that lose lines go to Python.
     cutting = F.pandas_udf(cut, T.StringType())(F.when(F.col(name).isNotNull(), quoted(text)), F.col(name))
     return out.withColumn(text, F.when(F.col(name).isNull(), quoted(text)).otherwise(cutting))

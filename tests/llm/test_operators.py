@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -302,6 +303,43 @@ def test_line_dedup_finds_planted_edits(spark):
     assert found == similar and len([i for i in similar if i % 3 == 1]) >= 200
 
 
+def test_line_dedup_moves_texts_and_words_once(spark, monkeypatch):
+    kept = []
+
+    class Recorded(line_dedup.Scratch):
+        def keep(self, df):
+            kept.append(super().keep(df))
+            return kept[-1]
+
+    monkeypatch.setattr(line_dedup, "Scratch", Recorded)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    line = [f"w{i}" for i in range(20)]
+    rows = [(0, " ".join(line)), (1, "own words only here\n" + " ".join([*line[:-1], "x"])), (2, " ".join(line)), (3, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = line_dedup.deduplicate_lines(df)
+        assert {r.doc_id: r.dropped_lines for r in out.collect()} == {0: None, 1: [1], 2: [0], 3: None}
+        # The same join for few dropped lines as for many, so that shuffled data grow with the input.
+        assert "Broadcast" not in plan(out)
+        # What is no longer read is gone: lines, classes and words.
+        left = [t.columns for t in kept if os.path.exists(t._scratch_path.removeprefix("file://"))]
+        assert kept and not [c for c in left if {"h2", "words", "cells"} & set(c)]
+        # Where ids are too many for a broadcast, a text is shuffled once: beside it only the places are.
+        monkeypatch.setattr("quillnest.llm.common.BROADCAST_IDS", -1)
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", -1)
+        cells = np.array([(7, 0), (-9, 3)], [("sig", ">i8"), ("block", ">i4")]).tobytes()
+        places = spark.createDataFrame([(1, 1, 5, cells)], "doc_id long, line long, id long, cells binary")
+        words = line_dedup._line_words(df, places)
+        assert plan(words).count("Exchange hashpartitioning") == 2
+        (r,) = words.collect()
+        assert (r.id, len(r.words), r.sig, r.block, r.sigs) == (5, 160, [7, -9], [-1, 2], (7).to_bytes(8, "big") + (-9).to_bytes(8, "big", signed=True))
+        assert {r.doc_id: r.dropped_lines for r in line_dedup.deduplicate_lines(df).collect()} == {0: None, 1: [1], 2: [0], 3: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_short_and_unsegmented_lines(spark, tmp_path):
     han = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
     thai = "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
