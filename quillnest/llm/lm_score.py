@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,8 @@ TRAIN_LANES, LANES = 256, 320
 #: Tokens after which training starts a long text's state anew; scoring never does.
 CUT = 512
 RATE = 0.08
-#: Bound of a gradient's entries; what keeps a step finite where all gradients so far are none.
-CLIP, TINY = 50.0, 1e-12
+#: Bound of a gradient's entries; what keeps a step finite where all gradients so far are none; exponents that are safe.
+CLIP, TINY, SAFE = 50.0, 1e-12, 80.0
 #: Tokens that are scored together.
 LOAD = 3_000_000
 #: Tokens that a shard learns from, about; shards at least, so that small corpora use several executors; tokens that are
@@ -160,77 +160,112 @@ def run_window(w: dict, lanes: Lanes, at: np.ndarray, active: np.ndarray, state:
 
     Arrays have a row for each unit, so that gates are whole rows. keep: gets what the way back needs.
     """
-    x, first, ht = np.ascontiguousarray(w["x"][lanes.given[at]].T), lanes.first[at], np.ascontiguousarray(w["h"].T)
+    # The logistic function is 1 / (1 + exp(-x)), tanh 2 / (1 + exp(-2 x)) - 1: the factors of x go to the weights.
+    scale = np.repeat(np.array([-1, -1, -2], state.dtype), HIDDEN)[:, None]
+    x, ht, first = (w["x"].T * scale).take(lanes.given[at], axis=1), w["h"].T * scale, lanes.first[at]
     out = np.empty((HIDDEN, len(at)), state.dtype)
     if keep is not None:
         keep.update(prev=np.empty_like(out), gates=np.empty((2 * HIDDEN, len(at)), state.dtype), c=np.empty_like(out), an=np.empty_like(out), first=first)
     a = 0
-    for n in active:
-        b = a + n
-        prev = state[:, :n]
-        if first[a:b].any():
-            prev[:, first[a:b]] = 0
-        u = ht @ prev
-        g = x[: 2 * HIDDEN, a:b] + u[: 2 * HIDDEN]
-        g *= 0.5  # the logistic function by tanh
-        np.tanh(g, out=g)
-        g += 1
-        g *= 0.5
-        c = g[HIDDEN:] * u[2 * HIDDEN :]
-        c += x[2 * HIDDEN :, a:b]
-        np.tanh(c, out=c)
-        h = out[:, a:b]
-        np.subtract(prev, c, out=h)
-        h *= g[:HIDDEN]
-        h += c
-        if keep is not None:
-            keep["prev"][:, a:b], keep["gates"][:, a:b], keep["c"][:, a:b], keep["an"][:, a:b] = prev, g, c, u[2 * HIDDEN :]
-        state[:, :n] = h
-        a = b
+    with np.errstate(over="ignore"):  # an infinite exponential gives the function's limit
+        for n in active:
+            b = a + n
+            prev = state[:, :n]
+            if first[a:b].any():
+                prev[:, first[a:b]] = 0
+            u = ht @ prev
+            g = x[: 2 * HIDDEN, a:b] + u[: 2 * HIDDEN]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            c = g[HIDDEN:] * u[2 * HIDDEN :]
+            c += x[2 * HIDDEN :, a:b]
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
+            h = out[:, a:b]
+            np.subtract(prev, c, out=h)
+            h *= g[:HIDDEN]
+            h += c
+            if keep is not None:
+                keep["prev"][:, a:b], keep["gates"][:, a:b], keep["c"][:, a:b], keep["an"][:, a:b] = prev, g, c, u[2 * HIDDEN :]
+            state[:, :n] = h
+            a = b
+    if keep is not None:
+        keep["an"] *= -0.5
     return out
 
 
-def _pick(logits: np.ndarray, at: np.ndarray, grad: bool) -> np.ndarray:
-    """Log-probability of one row in each column; with grad, logits become the gradient."""
-    logits -= logits.max(axis=0)
-    cols = np.arange(len(at))
-    own = logits[at, cols]
+def _with_bias(u: np.ndarray, bias: np.ndarray, size: int) -> tuple[np.ndarray, bool]:
+    """Groups of ``size`` rows of weights, biases in a last column, filled up with rows of no probability; and whether
+    exponentials of their logits are safe without the greatest one taken off.
+
+    Biases are shifted so that the greatest of a group is 0, which changes no probability. Units are within -1 and 1, so
+    weights bound the logits.
+    """
+    groups = -(-len(bias) // size)
+    out = np.zeros((groups * size, HIDDEN + 1), u.dtype)
+    out[: len(bias), :HIDDEN], out[: len(bias), HIDDEN], out[len(bias) :, HIDDEN] = u, bias, -np.inf
+    out = out.reshape(groups, size, HIDDEN + 1)
+    out[:, :, HIDDEN] -= out[:, :, HIDDEN].max(axis=1, keepdims=True)
+    np.maximum(out, -1e30, out=out)  # infinite weights times 0 are no numbers
+    return out, bool(np.abs(u).sum(axis=1).max(initial=0) < SAFE)
+
+
+def _pick(logits: np.ndarray, at: np.ndarray, safe: bool, grad: bool) -> np.ndarray:
+    """Log-probability of one column in each row; with grad, logits become the gradient."""
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
+    at = at + np.arange(len(at)) * logits.shape[1]
+    own = logits.ravel()[at]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
     if grad:
-        logits *= 1 / total
-        logits[at, cols] -= 1
+        logits *= (1 / total)[:, None]
+        logits.ravel()[at] -= 1
     return own - np.log(total)
 
 
 def softmax(w: dict, h: np.ndarray, target: np.ndarray, size: int, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities (natural) of the targets, by class and then word; and gradients where asked for."""
+    """Log-probabilities (natural) of the targets, by class and then word; and gradients where asked for.
+
+    A row for each token, in the order of their classes: a class is a run of rows, so that only products are by class.
+    """
     m = len(w["bw"])
     classes = len(w["bc"]) - 1
     cls = np.where(target >= m, classes, target // size)
-    # Columns in the order of their classes, so that those of a class are side by side.
     order = np.argsort(cls.astype(np.int16) if classes < 30_000 else cls, kind="stable")
-    cls, target, h = cls[order], target[order], h[:, order]
-    grad = grads is not None
-    d = w["uc"] @ h
-    d += w["bc"][:, None]
-    logp, dh = _pick(d, cls, grad), np.zeros((HIDDEN, 0), h.dtype)
-    if grad:
-        grads["uc"], grads["bc"], dh = d @ h.T, d.sum(axis=1), w["uc"].T @ d
-    cut = np.searchsorted(cls, np.arange(classes + 1))
-    for c in range(classes):
-        i, j = cut[c], cut[c + 1]
-        if i < j:
-            a, b = c * size, min((c + 1) * size, m)
-            d = w["uw"][a:b] @ h[:, i:j]
-            d += w["bw"][a:b, None]
-            logp[i:j] += _pick(d, target[i:j] - a, grad)
-            if grad:
-                grads["uw"][a:b], grads["bw"][a:b] = d @ h[:, i:j].T, d.sum(axis=1)
-                dh[:, i:j] += w["uw"][a:b].T @ d
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return logp[back], dh[:, back] if grad else dh
+    cls, target = cls[order], target[order]
+    cut = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    known, grad = cut[-1], grads is not None
+    ht = np.ones((len(order), HIDDEN + 1), h.dtype)
+    ht[:, :HIDDEN] = h.take(order, axis=1).T
+    (uc,), safe = _with_bias(w["uc"], w["bc"], classes + 1)
+    d = ht @ uc.T
+    logp = _pick(d, cls, safe, grad)
+    uw, safe = _with_bias(w["uw"], w["bw"], size)
+    runs = [(c, i, j) for c, (i, j) in enumerate(pairwise(cut)) if i < j]
+    e = np.empty((known, size), h.dtype)
+    for c, i, j in runs:
+        np.matmul(ht[i:j], uw[c].T, out=e[i:j])
+    logp[:known] += _pick(e, target[:known] - cls[:known] * size, safe, grad)
+    out = np.empty_like(logp)
+    out[order] = logp
+    if not grad:
+        return out, np.zeros((HIDDEN, 0), h.dtype)
+    g = d.T @ ht
+    grads["uc"], grads["bc"] = g[:, :HIDDEN], g[:, HIDDEN]
+    g, dh, own = np.zeros_like(uw), d @ uc, np.empty((known, HIDDEN + 1), h.dtype)
+    for c, i, j in runs:
+        np.matmul(e[i:j].T, ht[i:j], out=g[c])
+        np.matmul(e[i:j], uw[c], out=own[i:j])
+    g = g.reshape(-1, HIDDEN + 1)[:m]
+    grads["uw"], grads["bw"] = g[:, :HIDDEN], g[:, HIDDEN]
+    dh[:known] += own
+    back = np.empty((len(order), HIDDEN), h.dtype)
+    back[order] = dh[:, :HIDDEN]
+    return out, np.ascontiguousarray(back.T)
 
 
 def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
@@ -243,7 +278,7 @@ def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
     for active, at in lanes.windows(STEPS):
         keep: dict = {}
         h = run_window(w, lanes, at, active, state, keep)
-        grads = {k: np.zeros_like(v) for k, v in w.items() if k not in ("x", "h")}
+        grads: dict = {}
         logp, dh = softmax(w, h, lanes.target[at], size, grads)
         total += float(logp.sum())
         prev, c, an, z, r = keep["prev"], keep["c"], keep["an"], keep["gates"][:HIDDEN], keep["gates"][HIDDEN:]
@@ -257,8 +292,7 @@ def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
             d = dh[:, a:b]
             d[:, : back.shape[1]] += back
             u = up[:, a:b]
-            for k in range(3):
-                np.multiply(f[k * HIDDEN : (k + 1) * HIDDEN, a:b], d, out=u[k * HIDDEN : (k + 1) * HIDDEN])
+            np.multiply(f[:, a:b].reshape(3, HIDDEN, n), d, out=u.reshape(3, HIDDEN, n))
             back = w["h"] @ u
             back += d * z[:, a:b]
             if keep["first"][a:b].any():
@@ -268,13 +302,16 @@ def train(w: dict, squares: dict, seqs: list[np.ndarray], size: int) -> float:
         # Input rows: only those of the window's words are touched.
         up[2 * HIDDEN :] = dh * fc
         given = lanes.given[at]
-        order = np.argsort(given, kind="stable")
-        rows, starts = np.unique(given[order], return_index=True)
-        g = np.clip(np.add.reduceat(np.ascontiguousarray(up.T)[order], starts, axis=0), -CLIP, CLIP)
-        squares["x"][rows] += g * g
-        w["x"][rows] -= RATE * g / np.sqrt(squares["x"][rows] + TINY)
+        seen = np.bincount(given, minlength=len(w["x"])) > 0
+        rows = np.flatnonzero(seen)
+        place = (np.cumsum(seen) - 1)[given]
+        g = np.stack([np.bincount(place, x, len(rows)) for x in up], axis=1).astype(h.dtype)
+        np.clip(g, -CLIP, CLIP, out=g)
+        s = squares["x"][rows] + g * g
+        squares["x"][rows] = s
+        w["x"][rows] -= RATE * g / np.sqrt(s + TINY)
         for k, g in grads.items():
-            np.clip(g, -CLIP, CLIP, out=g)
+            g = np.clip(g, -CLIP, CLIP)
             squares[k] += g * g
             w[k] -= RATE * g / np.sqrt(squares[k] + TINY)
     return total

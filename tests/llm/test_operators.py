@@ -462,6 +462,38 @@ def test_lm_gradients_and_scores(spark, docs, monkeypatch):
     assert lm_score.score_texts(docs.where("false")).count() == 0
 
 
+def test_lm_softmax_by_brute_force_in_few_passes(monkeypatch):
+    """Exponentials are taken over all classes at once, so that their number doesn't grow with the classes; safe at any weights."""
+    rng, taken = np.random.default_rng(1), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, *args, **kwargs):
+            taken.append(1)
+            return np.exp(*args, **kwargs)
+
+    monkeypatch.setattr(lm_score, "np", Counting())
+    h, target = rng.uniform(-1, 1, (lm_score.HIDDEN, 300)).astype(np.float32), rng.integers(0, 52, 300)
+    for big in (0.3, 1.0, 400.0):
+        w = {k: (v + rng.normal(0, big, v.shape) * (k in ("uc", "uw"))).astype(np.float32) for k, v in lm_score.initial(list(range(50, 0, -1)), 2.0).items()}
+        size = lm_score.layout([1] * 50)["size"]
+        taken.clear()
+        got, _ = lm_score.softmax(w, h, target, size)
+        assert len(taken) == 2
+        lm_score.softmax(w, h, target, size, {})
+        assert len(taken) == 4
+        for k, t in enumerate(target):
+            x, classes = h[:, k].astype(np.float64), len(w["bc"]) - 1
+            own = [(w["uc"] @ x + w["bc"], classes if t >= 50 else t // size)]
+            if t < 50:
+                a = t // size * size
+                own.append((w["uw"][a : a + size] @ x + w["bw"][a : a + size], t - a))
+            want = sum(v[i] - v.max() - np.log(np.exp(v - v.max()).sum()) for v, i in own)
+            assert abs(got[k] - want) < 1e-5 * (big + abs(want)) + 1e-4
+
+
 def test_lm_learns_from_all_that_is_not_held_out(spark, monkeypatch):
     rows = [(i, f"some text number {i}") for i in range(200)] + [(None, "no id")]
     learned, fit = [], lm_score.fit_network
