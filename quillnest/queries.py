@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import access
@@ -325,6 +325,12 @@ def num_rows(spark, sf_dir):
     return spark.createDataFrame([(pf.num_rows, open_parquet(spark, _path(sf_dir, "events")).num_rows, pf.num_row_groups)], "num_rows long, events long, num_row_groups long")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows of all files' footers as those of one table: what files have in common comes once, what one file repeats stays."""
+    own = Window.partitionBy(*rows.columns).orderBy("file")
+    return rows.withColumn("nth", F.row_number().over(own)).drop("file").distinct().drop("nth")
+
+
 #: Where the reading of footers is compared with another reader's: it takes a literal path.
 _FILES = "/root/testdata/sf0.01"
 
@@ -332,7 +338,7 @@ _FILES = "/root/testdata/sf0.01"
 @query(f"""
 SELECT row_number() OVER () - 1 AS ordinal, name, type, repetition_type AS repetition, num_children, converted_type FROM parquet_schema('{_FILES}/embeddings.parquet')""")
 def schema_elements(spark, sf_dir):
-    return metadata.schema_elements(spark, _path(sf_dir, "embeddings")).select("ordinal", "name", "type", "repetition", "num_children", "converted_type")
+    return _once(metadata.schema_elements(spark, _path(sf_dir, "embeddings")).select("file", "ordinal", "name", "type", "repetition", "num_children", "converted_type"))
 
 
 @query(f"""
@@ -356,7 +362,7 @@ def page_headers(spark, sf_dir):
 
 @query(f"SELECT CAST(key AS VARCHAR) AS key, CAST(octet_length(value) AS BIGINT) AS bytes, sha256(value) AS sha256 FROM parquet_kv_metadata('{_FILES}/embeddings.parquet')")
 def key_values(spark, sf_dir):
-    kv = metadata.key_values(spark, _path(sf_dir, "embeddings"))
+    kv = _once(metadata.key_values(spark, _path(sf_dir, "embeddings")))
     return kv.select("key", F.octet_length("value").cast("long").alias("bytes"), F.sha2(F.encode("value", "UTF-8"), 256).alias("sha256"))
 
 

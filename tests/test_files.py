@@ -198,3 +198,20 @@ def test_many_entries_and_vectors(spark):
 
     df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),), (None,)], ["v"])
     assert [r[0] for r in df.select(access.fixed_from_vectors(F.col("v"), 2)).collect()] == [[1.0, 2.0], None]
+
+
+@pytest.mark.parametrize("files", [3, 40])
+def test_footers_of_a_folder_are_those_of_one_table(spark, sf_dir, tmp_path, files):
+    from quillnest.queries import QUERIES
+
+    t = pq.read_table(f"{sf_dir}/embeddings.parquet")
+    for name, n in (("one", 1), ("many", files)):
+        os.makedirs(tmp_path / name / "embeddings.parquet")
+        for k in range(n):
+            pq.write_table(t.slice(k, 1), str(tmp_path / name / "embeddings.parquet" / f"part-{k}.parquet"))
+    for query in ("schema_elements", "key_values"):
+        one, many = (sorted(map(repr, QUERIES[query](spark, str(tmp_path / d)).collect())) for d in ("one", "many"))
+        assert many == one
+    pq.write_table(t.slice(0, 1).append_column("more", pa.array([1])), str(tmp_path / "many" / "embeddings.parquet" / "part-more.parquet"))
+    got = QUERIES["schema_elements"](spark, str(tmp_path / "many")).collect()
+    assert len(got) == 8 and {r.num_children for r in got if r.ordinal == 0} == {3, 4}
