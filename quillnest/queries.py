@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import access
 from .operators import layout, levels, nullability
-from .session import scratch_path
+from .session import confs, scratch_path
 from .sources import metadata
 from .sources.arrow_io import read_ipc, write_ipc
 from .sources.files import exists
@@ -48,32 +48,51 @@ def _written(spark: SparkSession, df: DataFrame, **how) -> str:
 
 #: Paths of nested tables that queries read, by application, source and name: they are written once.
 _FIXTURES: dict[tuple[str, str, str], str] = {}
+#: Line items that a partition of a nested table gathers at most, on average, however few shuffle partitions are set.
+SHARE = 500_000
+
+
+def _gathering(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Confs for _gathered: sorted groups, and tasks small enough for neither side of a shuffle to spill."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_parquet(spark, _path(sf_dir, "lineitem")).num_rows // SHARE)
+    return {
+        "spark__sql__execution__useObjectHashAggregateExec": "false", "spark__sql__shuffle__partitions": str(parts),
+        "spark__sql__files__maxPartitionBytes": "32m", "spark__sql__adaptive__advisoryPartitionSizeInBytes": "16m",
+    }
 
 
 def _fixture(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], str]:
     def path(spark: SparkSession, sf_dir: str) -> str:
         key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
         if key not in _FIXTURES or not exists(spark, _FIXTURES[key]):
-            _FIXTURES[key] = _written(spark, build(spark, sf_dir))
+            with confs(spark, **_gathering(spark, sf_dir)):
+                _FIXTURES[key] = _written(spark, build(spark, sf_dir))
         return _FIXTURES[key]
 
     return path
 
 
+def _gathered(rows: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
+    """The rows of each key as one sorted list. They move as plain rows and are sorted by key once, which the joins above use:
+    lists begun before the shuffle save nothing, and hash aggregation gives up on many keys and sorts on both sides of it."""
+    return rows.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+
 @_fixture
 def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_nested: cust struct and items list, written as Parquet; orders without items have a null list."""
-    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "l_shipdate", "l_returnflag"))).alias("items"))
+    fields = [*ITEM, "l_shipdate", "l_returnflag"]
+    items = _gathered(_read(spark, sf_dir, "lineitem", fields), "l_orderkey", fields, "items")
     cust = _read(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select("c_custkey", F.struct("c_custkey", "c_name").alias("cust"))
     orders = _read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
-    full = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
+    full = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")  # items move once
     return full.select("o_orderkey", "o_custkey", "cust", "items")
 
 
 @_fixture
 def _quantity_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_map: position in the order to quantity."""
-    items = _read(spark, sf_dir, "lineitem", ITEM).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM))).alias("i"))
+    items = _gathered(_read(spark, sf_dir, "lineitem", ITEM), "l_orderkey", ITEM, "i")
     entries = F.transform("i", lambda x, k: F.struct((k + 1).cast("long").alias("key"), x["l_quantity"].alias("value")))
     return items.select("l_orderkey", F.map_from_entries(entries).alias("qty"))
 

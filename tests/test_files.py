@@ -215,3 +215,31 @@ def test_footers_of_a_folder_are_those_of_one_table(spark, sf_dir, tmp_path, fil
     pq.write_table(t.slice(0, 1).append_column("more", pa.array([1])), str(tmp_path / "many" / "embeddings.parquet" / "part-more.parquet"))
     got = QUERIES["schema_elements"](spark, str(tmp_path / "many")).collect()
     assert len(got) == 8 and {r.num_children for r in got if r.ordinal == 0} == {3, 4}
+
+
+@pytest.mark.parametrize("name", ["overlapping_keys", "fsl_size_check"])
+def test_items_of_nested_tables_move_once_as_rows(spark, sf_dir, monkeypatch, name):
+    """Lists are made after the only shuffle of their rows, by sorting, even where nothing is broadcast; the rows are those of the SQL."""
+    import duckdb
+
+    from quillnest import queries
+    from quillnest.session import confs
+
+    plans, written = [], queries._written
+    monkeypatch.setattr(queries, "_FIXTURES", {})
+    monkeypatch.setattr(queries, "_written", lambda s, df, **how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(s, df, **how))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with confs(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = sorted(map(repr, map(tuple, queries.QUERIES[name](spark, sf_dir).collect())))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    lines = plans[-1].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    made = [i for i, x in enumerate(lines) if "collect_list" in x]
+    assert made and not any("ObjectHashAggregate" in x for x in lines)
+    for i in (i for i, x in enumerate(lines) if " Exchange " in x):
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert not any(i < m < below for m in made), plans[-1]
+    db = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert got == sorted(map(repr, db.execute(queries.SQL[name]).fetchall()))
