@@ -101,7 +101,7 @@ def _quantity_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their items, gathered by customer."""
     orders = read_parquet(_nested_orders(spark, sf_dir), ["o_custkey", "o_orderkey", "items"], spark)
-    return orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "items"))).alias("orders"))
+    return _gathered(orders, "o_custkey", ["o_orderkey", "items"], "orders")
 
 
 def _raise_if(df: DataFrame, says: str) -> None:

@@ -217,7 +217,7 @@ def test_footers_of_a_folder_are_those_of_one_table(spark, sf_dir, tmp_path, fil
     assert len(got) == 8 and {r.num_children for r in got if r.ordinal == 0} == {3, 4}
 
 
-@pytest.mark.parametrize("name", ["overlapping_keys", "fsl_size_check"])
+@pytest.mark.parametrize("name", ["overlapping_keys", "fsl_size_check", "list_of_list_member"])
 def test_items_of_nested_tables_move_once_as_rows(spark, sf_dir, monkeypatch, name):
     """Lists are made after the only shuffle of their rows, by sorting, even where nothing is broadcast; the rows are those of the SQL."""
     import duckdb
